@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Tables of this session that settle() has written, removed when the driver ends.
@@ -72,3 +73,39 @@ def col(name: str) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, all else untouched."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+#: Rows of one chunk of row_ids(): the most that a window of rank_within() orders together.
+CHUNK_BITS = 16
+
+
+def row_ids(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table with a long `name` that is unique and counts up by one within each written part."""
+    return settle(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def rank_within(rows: DataFrame, keys: Sequence[str], rid: str, name: str) -> DataFrame:
+    """rows (a table of row_ids) with a long `name`: the rank from 0 by rid among the rows of the same keys.
+
+    A key may hold any share of the rows: they are counted by chunks of 2 ** CHUNK_BITS row ids, the counts of a
+    key are summed up in order (one row a chunk), and only the rows of one chunk are ordered together.
+    """
+    chunk, first = fresh(rows, "chunk"), fresh(rows, "first")
+    rows = rows.withColumn(chunk, F.shiftright(col(rid), CHUNK_BITS))
+    n = fresh(rows, "n")
+    before = W.partitionBy(*map(col, keys)).orderBy(col(chunk)).rowsBetween(W.unboundedPreceding, -1)
+    counts = settle(
+        rows.groupBy(*map(col, [*keys, chunk]))
+        .agg(F.count("*").alias(n))
+        .withColumn(first, F.coalesce(F.sum(col(n)).over(before), F.lit(0)))
+        .drop(n)
+    )
+    same = [rows[f"`{c}`"].eqNullSafe(counts[f"`{c}`"]) for c in [*keys, chunk]]
+    kept = [rows[f"`{c}`"] for c in rows.columns]
+    inside = W.partitionBy(*map(col, [*keys, chunk])).orderBy(col(rid))
+    return (
+        rows.join(counts, same)
+        .select(*kept, counts[f"`{first}`"])
+        .withColumn(name, col(first) + F.row_number().over(inside) - 1)
+        .drop(chunk, first)
+    )

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import shard, simhash
 
-MODULES = [simhash]
+MODULES = [shard, simhash]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
