@@ -94,7 +94,9 @@ def drop_recurring_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     key, drop = fresh(docs, "text_hash"), fresh(docs, "drop")
     n_lines, n_dropped = fresh(docs, "n_lines"), fresh(docs, "n_dropped")
     hashed = docs.withColumn(key, F.when(col(text).isNotNull(), F.xxhash64(col(text))))
-    joined = hashed.join(drops.select(F.col("text_hash").alias(key), F.col("drop").alias(drop)), key, "left")
+    # the texts with drops grow with the input, so they are never broadcast; AQE splits a text with many copies
+    sides = drops.select(F.col("text_hash").alias(key), F.col("drop").alias(drop)).hint("merge")
+    joined = hashed.join(sides, key, "left")
     split = F.split(col(text), "\n", -1)
     kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(col(drop), i)), "\n")
     return joined.select(
