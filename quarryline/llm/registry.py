@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mix, pack, shard, simhash
+from . import licenses, line_dedup, mix, pack, shard, simhash
 
-MODULES = [line_dedup, mix, pack, shard, simhash]
+MODULES = [licenses, line_dedup, mix, pack, shard, simhash]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
