@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import html_extract, licenses, line_dedup, mix, pack, shard, simhash
+from . import html_extract, licenses, line_dedup, mix, pack, quality, shard, simhash
 
-MODULES = [html_extract, licenses, line_dedup, mix, pack, shard, simhash]
+MODULES = [html_extract, licenses, line_dedup, mix, pack, quality, shard, simhash]
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
