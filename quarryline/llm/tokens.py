@@ -1,25 +1,27 @@
 """Token ids of a public tokenizer with word ends, whole texts, exactly as the tokenizers library gives them.
 
 The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a row. Words
-recur: a bounded cache holds the ids of words, and of their runs of letters, digits and marks for words whose
-normal form is plain (ASCII and Latin-1 letters, no apostrophes, no `<`); any other word goes to the library whole.
+recur: bounded caches hold ids. A text that is plain (ASCII and Latin-1 letters, digits and marks, no apostrophes,
+no `<` and `>`) is cut into its runs of letters, digits and marks, as the tokenizer does, and these go to its model;
+of other texts the plain words do, and any other word goes to the library whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
 #: Words and runs that a cache holds before it is emptied; about 200 bytes each.
 CACHE_WORDS = 300_000
+LONGEST_KEPT = 64
 #: Long texts are cut into parts of about so many characters, at white space.
 PART_CHARS = 1 << 20
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~"
-_PLAIN = re.compile(f"[{_LETTERS}0-9{_MARKS}]+")
+_ODD = re.compile(rf"[^{_LETTERS}0-9{_MARKS} \t\n\r\x0b\x0c]")
 _RUNS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_MARKS}]+")
 #: Python splits at these, the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -33,8 +35,27 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Cache(dict):
+    """Ids by key, made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.make(key)
+        if len(key) <= LONGEST_KEPT:
+            self[key] = found
+        return found
+
+    def join(self, keys: list[str]) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, keys))
+
+
 class Words:
-    """Ids by word for one tokenizer file. ids(text) gives a text's ids as little-endian 16-bit numbers."""
+    """Ids for one tokenizer file. ids(text) gives a text's ids as little-endian 16-bit numbers."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -44,41 +65,27 @@ class Words:
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.words, self.runs = _Cache(self._word), _Cache(self._run)
 
     def _run(self, run: str) -> bytes:
-        found = self.runs.get(run)
-        if found is None:
-            spelt = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
-            found = b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(spelt)])
-            if len(run) < 64:
-                self.runs[run] = found
-        return found
+        spelt = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
+        return b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(spelt)])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word):
-            return b"".join(map(self._run, _RUNS.findall(word.lower())))
-        return self._whole(word)
+        return self._whole(word) if _ODD.search(word) else self.runs.join(_RUNS.findall(word.lower()))
 
     def ids(self, text: str) -> bytes:
         return b"".join(map(self._part, parts(text)))
 
     def _part(self, text: str) -> bytes:
+        if not _ODD.search(text):
+            return self.runs.join(_RUNS.findall(text.lower()))
         if _SEPARATORS.search(text):
             return self._whole(text)
-        words = text.split()
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        if len(self.runs) > CACHE_WORDS:
-            self.runs.clear()
-        for word in set(words) - known.keys():
-            known[word] = self._word(word)
-        return b"".join(map(known.__getitem__, words))
+        return self.words.join(text.split())
 
 
 def parts(text: str) -> Iterator[str]:
