@@ -768,7 +768,8 @@ def safe_file_name(spark, sf_dir):
 def event_windows(spark, sf_dir):
     from ..streaming.history import windowed_totals
 
-    return rounded(windowed_totals(read_table(spark, sf_dir, "events")), 4, "total")
+    out = windowed_totals(read_table(spark, sf_dir, "events"))
+    return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), 4, "total")
 
 
 # what SQL cannot express; tests hold these against plain models

@@ -39,6 +39,7 @@ def bounded_history(events: DataFrame, keep: int = DEFAULTS.history_kept) -> Dat
 
 def windowed_totals(events: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """(start, event_type, n, total) per window of event time; rows later than `late` are left out (our extension)."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time zone
     out = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
     out = out.agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
