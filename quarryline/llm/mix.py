@@ -8,8 +8,8 @@ to one copy each under the word constraint sum(size * r) = target and the cap; l
 Newton steps on the logarithm of that sum, kept inside a bracket. A step is one aggregation of the (source, size)
 histogram, so it costs no pass over documents and a hot source is pre-aggregated. Rates become copies by order
 sampling: floor(r) copies for all, one more for those first by (hash uniform / fraction) while their words fit
-the target, then up to TOP_UPS documents a source that fit into what is left, the largest first. Words taken
-thus stay at or under the target, by less than the smallest document that could still be added.
+the target, then up to TOP_UPS more copies a source (two of a document at most) that fit into what is left, the largest first, and one that
+leaves less over than is missing without it, if there is one.
 
 Sizes are counts of runs of other characters than \\x09-\\x0D and \\x20. Documents of size 0, null texts among
 them, get one copy that takes no words. Sources without words have target 0. Repeated rows are shared out one
@@ -32,7 +32,7 @@ CAP = 3.0
 MAX_STEPS = 80
 TOLERANCE = 1e-7
 BRACKET = 1e6
-TOP_UPS = 4
+TOP_UPS = 6
 #: Priorities are cut into COARSE steps a unit, the one that matters into FINE.
 COARSE, FINE = 256, 4096
 #: Names of the columns that are added here; an input's own columns are set aside under other names.
@@ -207,37 +207,41 @@ def mix_sizes(rows: DataFrame, weights: Sequence[float], cap: float) -> DataFram
                 order,
             ).alias("e")
         )
-        .select(F.col("key").alias("ekey"), F.col("e.order").alias("edge"), F.col("e.fit").alias("fit"))
+        .select(F.col("key").alias(f"{P}ekey"), F.col("e.order").alias(f"{P}edge"), F.col("e.fit").alias(f"{P}fit"))
     )
 
     def with_edge(x: DataFrame) -> DataFrame:
-        return x.join(edge, x[f"{P}key"].eqNullSafe(edge["ekey"]), "left")
+        return x.join(edge, x[f"{P}key"].eqNullSafe(edge[f"{P}ekey"]), "left")
 
-    before = F.col(f"{P}p").isNotNull() & (F.col("edge").isNull() | (order < F.col("edge")))
-    at_edge = F.coalesce(order == F.col("edge"), F.lit(False)) & F.col(f"{P}p").isNotNull()
+    before = F.col(f"{P}p").isNotNull() & (F.col(f"{P}edge").isNull() | (order < F.col(f"{P}edge")))
+    at_edge = F.coalesce(order == F.col(f"{P}edge"), F.lit(False)) & F.col(f"{P}p").isNotNull()
     # a source without an edge row took all of its open items; one with an edge may still lack up to a document
     state = settle(
         with_edge(items).select(
             F.col(f"{P}key").alias("key"), F.col(f"{P}id").alias("id"), F.col(f"{P}size").alias("size"), "n",
-            (F.col("n") * F.col(f"{P}base") + F.when(before, F.col("n")).when(at_edge, F.col("fit")).otherwise(0)).alias("copies"),
+            (F.col("n") * F.col(f"{P}base") + F.when(before, F.col("n")).when(at_edge, F.col(f"{P}fit")).otherwise(0)).alias("copies"),
             F.col(f"{P}target").alias("target"),
         )
     )
     extras: DataFrame | None = None
+    # the last turn looks for the smallest document that leaves less words over than are missing without it
     room = settle(
         state.groupBy("key", "target")
         .agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
         .select("key", (F.floor("target") - F.col("got")).alias("room"))
     )
-    candidates = state.where((F.col("n") == 1) & (F.col("size") > 0) & (F.col("copies") + 1 <= cap)).select("key", "id", "size")
-    for _ in range(TOP_UPS):
-        c = candidates.alias("c")
+    candidates = state.where((F.col("n") == 1) & (F.col("size") > 0)).select("key", "id", "size", "copies")
+    for turn in range(TOP_UPS + 1):
+        last = turn == TOP_UPS
+        c, have = candidates.alias("c"), F.col("c.copies")
         if extras is not None:
-            used = extras.alias("x")
-            taken = [F.col(f"c.{k}").eqNullSafe(F.col(f"x.{k}")) for k in ("key", "id", "size")]
-            c = c.join(used, taken, "left_anti").alias("c")
-        fits = c.join(room.alias("r"), F.col("c.key").eqNullSafe(F.col("r.key"))).where("c.size <= r.room")
-        rank = F.struct(F.col("c.size"), F.xxhash64("c.id"), F.col("c.id"))
+            used = extras.groupBy("key", "id", "size").agg(F.count("*").alias("more")).alias("x")
+            c = c.join(used, [F.col(f"c.{k}").eqNullSafe(F.col(f"x.{k}")) for k in ("key", "id", "size")], "left")
+            c, have = c.where("x.more is null or x.more < 2"), have + F.coalesce("x.more", F.lit(0))
+        c = c.where(have + 1 <= cap)
+        fits = c.join(room.alias("r"), F.col("c.key").eqNullSafe(F.col("r.key")))
+        fits = fits.where("c.size > r.room and c.size < 2 * r.room" if last else "c.size <= r.room")
+        rank = F.struct((-F.col("c.size") if last else F.col("c.size")).alias("s"), F.xxhash64("c.id").alias("h"), F.col("c.id"))
         best = settle(
             fits.groupBy(F.col("c.key").alias("key"))
             .agg(F.max_by(F.struct("c.id", "c.size"), rank).alias("b"))
@@ -250,15 +254,15 @@ def mix_sizes(rows: DataFrame, weights: Sequence[float], cap: float) -> DataFram
                 "key", (F.col("room") - F.coalesce("bsize", F.lit(0))).alias("room")
             )
         )
-    more = settle(extras.groupBy("key").agg(F.collect_set(F.struct("id", "size")).alias("more")).withColumnRenamed("key", "mkey"))
+    more = settle(extras.groupBy("key").agg(F.collect_list(F.struct("id", "size")).alias(f"{P}more")).withColumnRenamed("key", f"{P}mkey"))
     final = with_edge(rated(rows))
-    final = final.join(more, F.col(f"{P}key").eqNullSafe(F.col("mkey")), "left")
-    mine = F.exists("more", lambda m: m["id"].eqNullSafe(F.col(f"{P}id")) & (m["size"] == size))
-    extra = F.when(F.coalesce(mine, F.lit(False)), F.lit(1)).otherwise(0)
+    final = final.join(more, F.col(f"{P}key").eqNullSafe(F.col(f"{P}mkey")), "left")
+    mine = F.filter(f"{P}more", lambda m: m["id"].eqNullSafe(F.col(f"{P}id")) & (m["size"] == size))
+    extra = F.coalesce(F.size(mine), F.lit(0))
     one = F.when(before, F.lit(1)).otherwise(0)
     plain = final.where(~at_edge).withColumn(f"{P}copies", (F.col(f"{P}base") + one + extra).cast("int"))
     edges = rank_within(final.where(at_edge), [f"{P}key"], f"{P}rid", f"{P}rank")
-    first = F.when(F.col(f"{P}rank") < F.col("fit"), F.lit(1)).otherwise(0)
+    first = F.when(F.col(f"{P}rank") < F.col(f"{P}fit"), F.lit(1)).otherwise(0)
     edges = edges.withColumn(f"{P}copies", (F.col(f"{P}base") + first + extra).cast("int")).drop(f"{P}rank")
     return plain.unionByName(edges)
 
