@@ -114,29 +114,29 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same from strings in place of hashes.
 SQL = f"""
-WITH d AS (SELECT doc_id, text FROM documents),
-t AS (SELECT DISTINCT text FROM d WHERE text IS NOT NULL),
-m AS (SELECT text, string_split(regexp_replace(regexp_replace(text, '[0-9]+', '<*>', 'g'),
-        '[\\x09\\x0B-\\x0D ]+', ' ', 'g'), chr(10)) AS ls FROM t),
-l AS (SELECT text, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM m),
-k AS (SELECT text, pos, CASE WHEN len(string_split(trim(line, ' '), ' ')) >= {MIN_TOKENS} THEN
+WITH d AS (SELECT doc_id, text, dense_rank() OVER (ORDER BY text) AS t FROM documents),
+u AS (SELECT t, any_value(text) AS text FROM d WHERE text IS NOT NULL GROUP BY t),
+m AS (SELECT t, string_split(regexp_replace(regexp_replace(text, '[0-9]+', '<*>', 'g'),
+        '[\\x09\\x0B-\\x0D ]+', ' ', 'g'), chr(10)) AS ls FROM u),
+l AS (SELECT t, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM m),
+k AS (SELECT t, pos, CASE WHEN len(string_split(trim(line, ' '), ' ')) >= {MIN_TOKENS} THEN
         len(string_split(trim(line, ' '), ' ')) || ':' ||
         array_to_string(list_slice(string_split(trim(line, ' '), ' '), 1, {DEPTH}), ' ') END AS leaf FROM l),
-n AS (SELECT text, pos, leaf, lag(leaf) OVER (PARTITION BY text ORDER BY pos) AS prev,
-        lead(leaf) OVER (PARTITION BY text ORDER BY pos) AS next FROM k),
-o AS (SELECT leaf, text, arg_min_null(prev, pos) AS prev, arg_min_null(next, pos) AS next
-        FROM n WHERE leaf IS NOT NULL GROUP BY leaf, text),
+n AS (SELECT t, pos, leaf, lag(leaf) OVER (PARTITION BY t ORDER BY pos) AS prev,
+        lead(leaf) OVER (PARTITION BY t ORDER BY pos) AS next FROM k),
+o AS (SELECT leaf, t, arg_min_null(prev, pos) AS prev, arg_min_null(next, pos) AS next
+        FROM n WHERE leaf IS NOT NULL GROUP BY leaf, t),
 r AS (SELECT leaf FROM o GROUP BY leaf
         HAVING greatest(count(DISTINCT prev), count(DISTINCT next)) >= greatest({MIN_DOCUMENTS}, {MIN_CHANGE} * count(*))),
-x AS (SELECT text, pos FROM k WHERE leaf IN (SELECT leaf FROM r)),
-g AS (SELECT l.text, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(x.pos) AS BIGINT) AS n_dropped
-        FROM l LEFT JOIN x ON l.text = x.text AND l.pos = x.pos GROUP BY l.text),
-s AS (SELECT text, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM t),
-c AS (SELECT s.text, string_agg(s.line, chr(10) ORDER BY s.pos) AS kept
-        FROM s LEFT JOIN x ON s.text = x.text AND s.pos = x.pos WHERE x.pos IS NULL GROUP BY s.text)
-SELECT d.doc_id, coalesce(g.n_lines, 0) AS n_lines, coalesce(g.n_dropped, 0) AS n_dropped,
+x AS (SELECT t, pos FROM k WHERE leaf IN (SELECT leaf FROM r)),
+s AS (SELECT t, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM u),
+c AS (SELECT s.t, string_agg(s.line, chr(10) ORDER BY s.pos) FILTER (x.pos IS NULL) AS kept,
+        CAST(count(*) AS BIGINT) AS n_lines, CAST(count(x.pos) AS BIGINT) AS n_dropped
+        FROM s LEFT JOIN x ON s.t = x.t AND s.pos = x.pos GROUP BY s.t)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE c.n_lines END AS n_lines,
+  CASE WHEN d.text IS NULL THEN 0 ELSE c.n_dropped END AS n_dropped,
   CASE WHEN d.text IS NOT NULL THEN coalesce(c.kept, '') END AS text
-FROM d LEFT JOIN g ON d.text = g.text LEFT JOIN c ON d.text = c.text
+FROM d LEFT JOIN c ON d.t = c.t
 """
 
 QUERIES = {"op4_line_dedup": op4_line_dedup}
