@@ -188,7 +188,8 @@ def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """
     found = settle(simhash_components(docs))
     kept = settle(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
-    out = docs.join(kept.where("n = 1"), "doc_id", "left_semi")
+    # what is kept grows with the input, so it is never broadcast
+    out = docs.join(kept.where("n = 1").hint("merge"), "doc_id", "left_semi")
     repeated = kept.where("n > 1")
     if not repeated.isEmpty():
         out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
