@@ -2,58 +2,30 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Tables of this session that settle() has written, removed when the driver ends.
-_written: list[tuple[object, str]] = []
-#: The folder of a session that names none.
-_own: list[str] = []
+from ..plans.tables import read_table, settle, shared_folder
 
+__all__ = ["col", "fresh", "lower_ascii", "rank_within", "read_table", "row_ids", "settle", "shared_folder", "small_batches"]
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: What one Arrow batch to a Python worker may hold: with it both sides' buffers stay small, whatever a text's length.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none (tests), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _own:
-        _own.append(f"file://{tempfile.mkdtemp(prefix='quarryline-')}")
-    return _own[0]
-
-
-def _remove_written() -> None:
-    for spark, path in _written:
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001 - the session may have ended before the interpreter
-            return
-
-
-atexit.register(_remove_written)
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and return the written table.
-
-    This cuts the lineage, survives lost executors, and gives Catalyst the true size, so a later join
-    is broadcast only if the table is below spark.sql.autoBroadcastJoinThreshold.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quarryline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Bound the session's Arrow batches; a session that has set lower bounds keeps them."""
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{key}"
+        number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]?)b?", str(spark.conf.get(name)).lower()).groups()
+        now = int(number) << {"k": 10, "m": 20, "g": 30}.get(unit, 0)
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+    return spark
 
 
 def fresh(df: DataFrame, stem: str, others: Sequence[str] = ()) -> str:

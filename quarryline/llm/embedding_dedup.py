@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, row_ids, settle
+from .common import read_table, row_ids, settle, small_batches
 from .components import connected_components
 from .vectors import is_finite, pivots_for, sample_vectors, stack
 
@@ -157,6 +157,7 @@ def deal(indexed: DataFrame, blocks: dict[int, int]) -> DataFrame:
 
 def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding)."""
+    small_batches(vectors.sparkSession)
     light = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     valid = is_finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     distinct = light.where(valid).groupBy("embedding").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))

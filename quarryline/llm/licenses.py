@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, small_batches
 from .license_rules import BASE, Rule, build_rules
 
 RULES = build_rules()
@@ -114,6 +114,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, detections) of each row of docs (doc_id, text); other columns are not read."""
+    small_batches(docs.sparkSession)
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return light.mapInArrow(_scan, SCHEMA)
 

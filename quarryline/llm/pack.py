@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, small_batches
 from .tokens import words_of
 
 TIERS = (512, 1024, 2048, 4096)
@@ -151,6 +151,7 @@ def _packer(path: str, tiers: Sequence[int], with_ids: bool):
 
 def pack(docs: DataFrame, tokenizer: str, tiers: Sequence[int] = TIERS, with_ids: bool = False) -> DataFrame:
     """One row for each piece of docs (doc_id, text); with_ids adds the piece's token ids. tokenizer: a file's path."""
+    small_batches(docs.sparkSession)
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return light.mapInArrow(_packer(tokenizer, tuple(tiers), with_ids), SCHEMA + ", ids array<int>" * with_ids)
 

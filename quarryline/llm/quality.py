@@ -22,13 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, read_table
+from .common import col, read_table, small_batches
 
 PASSAGE = 64
 TRAIN_DOCS = 4000
@@ -180,13 +179,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     known = known.where(F.col("label").isin(0.0, 1.0) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.round(F.avg("label")).alias("label"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    known = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).toPandas()
-    if not len(known):
+    known = known.join(ids, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    if not known:
         return None
     chosen = docs.sparkSession.createDataFrame(known, "doc_id long, label double")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.join(F.broadcast(chosen), "doc_id")  # at most `limit` rows
     texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+    small_batches(docs.sparkSession)
     rows = texts.mapInArrow(_sampled, "doc_id long, label double, features binary").collect()
     rows.sort(key=lambda r: r.doc_id)
     bags = [np.frombuffer(r.features, np.float32).reshape(-1, FEATURES).astype(float) for r in rows]
@@ -198,10 +198,11 @@ def score(docs: DataFrame, model: Attention | None, name: str = "score") -> Data
     if model is None:
         return docs.withColumn(name, F.lit(0.5))
 
-    def scores(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(passages((x or "").encode())) for x in text], dtype=float)
+    def scores(text: pa.Array) -> pa.Array:
+        return pa.array([model.score(passages(x.as_py() or b"")) for x in text.cast(pa.binary())], pa.float64())
 
-    return docs.withColumn(name, F.pandas_udf(scores, T.DoubleType())(F.col("text").cast("string")))
+    small_batches(docs.sparkSession)
+    return docs.withColumn(name, F.arrow_udf(scores, T.DoubleType())(F.col("text").cast("string")))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

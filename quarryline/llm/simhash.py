@@ -22,14 +22,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, read_table, settle
+from .common import col, fresh, read_table, settle, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -66,14 +65,16 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long: the fingerprint's bits) of each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _fingerprints, "doc_id long, fp long"
     )
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprint_udf(text: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint((x or "").encode()) for x in text], dtype="uint64").astype("int64")
+@F.arrow_udf(T.LongType())
+def _fingerprint_udf(text: pa.Array) -> pa.Array:
+    values = [fingerprint(x.as_py() or b"") for x in text.cast(pa.binary())]
+    return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def _flips() -> list[np.ndarray]:

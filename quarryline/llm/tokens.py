@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 
 #: Words and runs that a cache holds before it is emptied; about 200 bytes each.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 LONGEST_KEPT = 64
 #: Long texts are cut into parts of about so many characters, at white space.
 PART_CHARS = 1 << 20

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read_table, row_ids, settle
+from .common import read_table, row_ids, settle, small_batches
 from .vectors import is_finite, pivots_for, sample_vectors, stack
 
 K = 20
@@ -208,6 +208,7 @@ def _solver(k: int, width: int):
 
 def top_k(vectors: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query row of vectors (vec_id, embedding)."""
+    small_batches(vectors.sparkSession)
     light = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(is_finite(F.col("embedding")))
     rows = row_ids(light, "rid")
     count, width, asked = rows.agg(
