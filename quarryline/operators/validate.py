@@ -104,7 +104,9 @@ def recommendations(metrics: DataFrame, histogram: DataFrame) -> DataFrame:
             F.when(F.col("completeness_score") < 0.9, ADVICE[2]),
         )
     )
-    return metrics.crossJoin(top).select(F.posexplode(found).alias("position", "advice"))  # one row each
+    both = metrics.unionByName(top, allowMissingColumns=True)  # one row each, folded into one
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return both.select(F.posexplode(found).alias("position", "advice"))
 
 
 def report(metrics: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tables of this session that settle() has written, removed when the driver ends.
 _written: list[tuple[SparkSession, str]] = []
@@ -47,6 +48,7 @@ def settle(df: DataFrame) -> DataFrame:
     is broadcast only if the table is below spark.sql.autoBroadcastJoinThreshold.
     """
     spark = df.sparkSession
+    df = df.withColumns({c: F.lit(None).cast("string") for c, kind in df.dtypes if kind == "void"})  # Parquet has no void
     path = f"{shared_folder(spark)}/quarryline/{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
