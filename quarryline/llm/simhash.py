@@ -19,6 +19,7 @@ but never names a component. Repeated rows all stay. Other columns of the input
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,23 +37,35 @@ SHINGLE = 3
 MAX_DISTANCE = 2
 CODE_BITS = 63
 LOW = np.uint64((1 << CODE_BITS) - 1)
-#: Hashes whose bits are counted at once: bounds the memory that a very long text takes.
-HASHES_AT_ONCE = 1 << 16
+#: Bytes of a text whose words are held at once: bounds the memory that a very long text takes.
+SLICE = 1 << 19
+_SPACE = re.compile(rb"[\t-\r ]")
+
+
+def slices(text: bytes) -> Iterator[bytes]:
+    """text, cut at white space into parts of about SLICE bytes."""
+    at = 0
+    while len(text) - at > SLICE:
+        space = _SPACE.search(text, at + SLICE)
+        if space is None:
+            break
+        yield text[at : space.start()]
+        at = space.start()
+    yield text[at:] if at else text
 
 
 def fingerprint(text: bytes) -> int:
     """The unsigned 64-bit SimHash of one text in UTF-8."""
-    words = text.lower().split()  # bytes: A-Z only, and splits at \x20 and \x09-\x0D
-    if not words:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        return digest(b" ".join(words), SEED)
-    counts, total = np.zeros(64, np.int64), len(words) - SHINGLE + 1
-    for at in range(0, total, HASHES_AT_ONCE):
-        part = words[at : at + HASHES_AT_ONCE + SHINGLE - 1]
-        hashes = np.array([digest(b" ".join(x), SEED) for x in zip(part, part[1:], part[2:], strict=False)], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    digest, counts, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
+    words: list[bytes] = []
+    for part in slices(text):
+        words = words[-(SHINGLE - 1) :] + part.lower().split()  # bytes: A-Z only, and splits at \x20 and \x09-\x0D
+        if len(words) >= SHINGLE:
+            hashes = np.array([digest(b" ".join(x), SEED) for x in zip(words, words[1:], words[2:], strict=False)], "<u8")
+            counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            total += len(hashes)
+    if not total:
+        return digest(b" ".join(words), SEED) if words else 0
     return sum(1 << i for i in np.flatnonzero(counts * 2 > total).tolist())
 
 

@@ -1,4 +1,12 @@
+from collections import Counter
+
+import duckdb
+from test_mix import check as check_mix
+from test_pack import check as check_packing
+from test_simhash import model_components, model_fingerprint
+
 import corpus_pipeline
+from quarryline.llm import line_dedup, mix
 from quarryline.llm.common import settle
 from quarryline.llm.pack import default_tokenizer
 
@@ -43,3 +51,35 @@ def test_stages_on_no_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0, name
+
+
+def test_each_stage_equals_brute_force_on_its_input(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = settle(corpus_pipeline.quality_classifier(spark, docs, sf_dir))
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    ids = {r.doc_id for r in kept.collect()}
+    right = [(i in ids) == (q == 1) for i, q in labels.items()]
+    assert sum(right) / len(right) > 0.95
+
+    lines = settle(corpus_pipeline.line_deduplication(spark, kept, sf_dir))
+    kept.write.parquet(str(tmp_path / "kept"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/kept/*.parquet')")
+    want = {r[0]: r[3] for r in con.sql(line_dedup.SQL).fetchall()}
+    assert {r.doc_id: r.text for r in lines.collect()} == want
+
+    single = settle(corpus_pipeline.simhash_near_dedup(spark, lines, sf_dir))
+    order = sorted(want)
+    parts = model_components(order, [model_fingerprint(want[i]) for i in order])
+    assert sorted(r.doc_id for r in single.collect()) == sorted(set(parts.values()))
+
+    mixed = settle(corpus_pipeline.mix_to_targets(spark, single, sf_dir))
+    rows = check_mix(mix.mix(single))
+    assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
+
+    once = mixed.dropDuplicates(["doc_id"])
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    texts = {r.doc_id: r.text for r in once.collect()}
+    assert check_packing(corpus_pipeline.packing(spark, once, sf_dir).collect(), texts, tokenizer) == 0

@@ -42,11 +42,16 @@ def test_fingerprint_is_that_of_the_model(text):
     assert fingerprint(text.encode()) == model_fingerprint(text)
 
 
-def test_hashes_in_parts_count_as_one(monkeypatch):
-    text = " ".join(f"w{i % 37}x{i}" for i in range(500))
-    whole = fingerprint(text.encode())
-    monkeypatch.setattr(simhash, "HASHES_AT_ONCE", 7)
-    assert fingerprint(text.encode()) == whole == model_fingerprint(text)
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Bc", "é", "long-word"]), max_size=30), st.sampled_from([" ", "\n\n", " \t"]), st.integers(1, 12))
+def test_a_text_in_slices_is_the_text(words, joint, size):
+    text, whole = joint.join(words), simhash.SLICE
+    simhash.SLICE = size
+    try:
+        assert b"".join(simhash.slices(text.encode())) == text.encode()
+        assert fingerprint(text.encode()) == model_fingerprint(text)
+    finally:
+        simhash.SLICE = whole
 
 
 @settings(max_examples=200, deadline=None)
