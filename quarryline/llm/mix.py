@@ -32,7 +32,7 @@ CAP = 3.0
 MAX_STEPS = 80
 TOLERANCE = 1e-7
 BRACKET = 1e6
-TOP_UPS = 6
+TOP_UPS = 4
 #: Priorities are cut into COARSE steps a unit, the one that matters into FINE.
 COARSE, FINE = 256, 4096
 #: Names of the columns that are added here; an input's own columns are set aside under other names.
