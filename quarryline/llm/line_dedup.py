@@ -19,6 +19,9 @@ no hot group; hashes of 64 bits stand for lines, texts and templates in all that
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +34,11 @@ MIN_CHANGE = 0.5
 
 
 def _masked_lines(text: Column) -> Column:
-    """The lines of a text with digit runs masked and other white space as single spaces."""
-    masked = F.regexp_replace(text, "[0-9]+", "<*>")
-    return F.split(F.regexp_replace(masked, "[\\x09\\x0B-\\x0D ]{2,}|[\\x09\\x0B-\\x0D]", " "), "\n", -1)
+    """The lines of a text with digit runs masked and other white space as single spaces; most texts need neither."""
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, "[0-9]+", "<*>")).otherwise(text)
+    odd = [F.contains(masked, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")]
+    spaced = F.regexp_replace(masked, "[\\x09\\x0B-\\x0D ]{2,}|[\\x09\\x0B-\\x0D]", " ")
+    return F.split(F.when(reduce(or_, odd), spaced).otherwise(masked), "\n", -1)
 
 
 def _leaf(line: Column) -> Column:
