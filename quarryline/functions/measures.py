@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Factors by unit (fixed values).
@@ -144,3 +144,9 @@ def normalize_map(characteristics: Column) -> Column:
     # the last of equal keys, without relying on the session's policy
     last = F.filter(kept, lambda e, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda o: o["k"] == e["k"]))
     return F.map_from_entries(last)
+
+
+def unit_table(spark: SparkSession) -> DataFrame:
+    """(kind, unit, factor): the conversions as a small reference table."""
+    rows = [(kind, u, f) for kind, t in (("weight", WEIGHT_G), ("length", LENGTH_MM), ("volume", VOLUME_L)) for u, f in t.items()]
+    return spark.createDataFrame(rows, "kind string, unit string, factor double")

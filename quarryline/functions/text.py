@@ -111,3 +111,31 @@ def correct_grammar(text: Column) -> Column:
 
 def preserved(original_terms: Column, rewritten: Column) -> Column:
     return F.filter(original_terms, lambda t: F.contains(F.lower(rewritten), F.lower(t)))
+
+
+def analyze(text: Column) -> Column:
+    """array of struct(text, tokens, n_words, n_numbers): sentences by their marks, tokens as words or single marks."""
+
+    def one(sentence: Column) -> Column:
+        tokens = F.regexp_extract_all(sentence, F.lit(f"({WORD}+|[^\\p{{L}}\\p{{N}}_\\s])"), F.lit(1))
+        numbers = F.size(F.filter(tokens, lambda t: t.rlike("^\\p{N}+$")))
+        return F.struct(sentence.alias("text"), tokens.alias("tokens"), F.size(F.filter(tokens, lambda t: t.rlike(WORD))).alias("n_words"), numbers.alias("n_numbers"))
+
+    pieces = F.split(F.regexp_replace(F.trim(F.regexp_replace(text, "\\s+", " ")), "([.!?]+) ", "$1\u0000"), "\u0000")
+    return F.transform(F.filter(pieces, lambda s: s != ""), one)
+
+
+def brands(text: Column) -> Column:
+    """Words after a brand indicator (a rule in place of a language model), distinct and sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("(?iuU)\\b(?:бренд|марка|производитель|brand|make)\\s*:?\\s+([\\p{L}\\p{N}-]+)"), F.lit(1))))
+
+
+def models(text: Column) -> Column:
+    """Words of letters and digits after a model indicator, distinct and sorted."""
+    word = "((?=[^\\s]*\\d)(?=[^\\s]*\\p{L})[\\p{L}\\p{N}-]+)"
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?iuU)\\b(?:модель|version|тип|model)\\s*:?\\s+{word}"), F.lit(1))))
+
+
+def lemma(word: Column, lemmas: Column | None = None) -> Column:
+    """A word's lemma in a map of lower-case forms; the word itself without one."""
+    return word if lemmas is None else F.coalesce(lemmas[F.lower(word)], word)

@@ -77,9 +77,7 @@ def _chance(*parts: Column) -> Column:
 
 def preserved_terms(text: Column, characteristics: Column | None = None) -> Column:
     """What a rewriting keeps: technical terms, brands and models named as such, characteristics with units."""
-    brands = F.regexp_extract_all(text, F.lit("(?iuU)\\b(?:бренд|марка|производитель|brand|make)\\s*:?\\s+([\\p{L}\\p{N}-]+)"), F.lit(1))
-    models = F.regexp_extract_all(text, F.lit("(?iuU)\\b(?:модель|version|тип|model)\\s*:?\\s+((?=[^\\s]*\\d)(?=[^\\s]*\\p{L})[\\p{L}\\p{N}-]+)"), F.lit(1))
-    found = F.concat(X.technical_terms(text), brands, models)
+    found = F.concat(X.technical_terms(text), X.brands(text), X.models(text))
     if characteristics is not None:
         has_unit = lambda v: F.lower(v).rlike("|".join(UNITS))
         kept = F.filter(F.map_entries(characteristics), lambda e: has_unit(e["value"]))

@@ -400,6 +400,11 @@ WEIGHTS = {"г": 1.0, "KG": 1000.0, "lb": 453.592, "oz": 28.3495, "stone": 1.0}
 VOLUMES = {"л": 1.0, "ml": 0.001, "gallon": 3.78541, "м3": 1000.0, "cup": 1.0}
 
 
+@query("SELECT 'weight' AS kind, CAST(%d AS BIGINT) AS n UNION ALL SELECT 'length', %d UNION ALL SELECT 'volume', %d" % (len(measures.WEIGHT_G), len(measures.LENGTH_MM), len(measures.VOLUME_L)))
+def unit_table(spark, sf_dir):
+    return measures.unit_table(spark).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query(units_sql(LENGTHS, 2, "length_mm"))
 def unit_length_mm(spark, sf_dir):
     return _units(spark, sf_dir, list(LENGTHS)).select("p_partkey", measures.length_mm(F.col("text")).alias("length_mm"))
@@ -561,6 +566,25 @@ def grammar_corrected(spark, sf_dir):
     return read_table(spark, sf_dir, "part").select("p_partkey", X.correct_grammar(F.trim(text)).alias("text"))
 
 
+@query("""WITH s AS (SELECT doc_id, unnest(list_filter(string_split(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '([.!?]+) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')) AS s FROM documents),
+ c AS (SELECT doc_id, count(*) AS n_sentences, CAST(sum(len(regexp_extract_all(s, '[\\p{L}\\p{N}_]+'))) AS BIGINT) AS n_words, CAST(sum(len(regexp_extract_all(s, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]'))) AS BIGINT) AS n_tokens FROM s GROUP BY doc_id)
+ SELECT documents.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_words, 0) AS n_words, coalesce(n_tokens, 0) AS n_tokens FROM documents LEFT JOIN c ON c.doc_id = documents.doc_id""")
+def text_analysis(spark, sf_dir):
+    a = X.analyze(F.col("text"))
+    total = lambda f: F.aggregate(F.transform("a", f), F.lit(0).cast("bigint"), lambda x, n: x + n)
+    out = read_table(spark, sf_dir, "documents").select("doc_id", a.alias("a"))
+    out = out.select("doc_id", F.size("a").alias("n_sentences"), total(lambda s: s["n_words"]).alias("n_words"), total(lambda s: F.size(s["tokens"])).alias("n_tokens"))
+    return longs(out, "n_sentences")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS brands, 'X' || CAST(p_partkey AS VARCHAR) || '-a' AS models FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS p_name FROM part)")
+def brands_and_models(spark, sf_dir):
+    k = F.col("p_partkey")
+    first = F.element_at(F.split("p_name", " "), 1)
+    text = F.concat(F.when(k % 2 == 0, F.concat(F.lit("Бренд: "), first, F.lit(", "))).otherwise("no "), F.lit("модель X"), k.cast("string"), F.lit("-a, модель plain"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", F.array_join(X.brands(text), ",").alias("brands"), F.array_join(X.models(text), ",").alias("models"))
+
+
 DICTIONARY_SQL = "(VALUES " + ", ".join(f"('{w}', {len(s)})" for w, s in rewrite.SYNONYMS.items()) + ") s(word, n)"
 
 

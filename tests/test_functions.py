@@ -96,3 +96,32 @@ def test_price_equals_a_model(spark_once, texts):
 @pytest.fixture(scope="module")
 def spark_once(spark):
     return spark
+
+
+def test_analysis_and_lemmas(spark):
+    got = apply(spark, X.analyze, ["Вес 5 кг, да. Ok?! end", "", None])
+    assert [(s.text, s.tokens, s.n_words, s.n_numbers) for s in got[0]] == [
+        ("Вес 5 кг, да.", ["Вес", "5", "кг", ",", "да", "."], 4, 1), ("Ok?!", ["Ok", "?", "!"], 1, 0), ("end", ["end"], 1, 0)]
+    assert got[1] == [] and got[2] is None
+    table = F.create_map(F.lit("дома"), F.lit("дом"))
+    assert apply(spark, lambda c: X.lemma(c, table), ["Дома", "x"]) == ["дом", "x"] and apply(spark, X.lemma, ["x"]) == ["x"]
+
+
+def test_retries():
+    from quarryline.plans.retry import error_event, retry
+
+    calls, waits = [], []
+
+    @retry(times=3, sleep=waits.append)
+    def fails(until):
+        calls.append(1)
+        if len(calls) < until:
+            raise ConnectionError("no")
+        return len(calls)
+
+    assert fails(3) == 3 and waits == [1.0, 2.0]
+    calls.clear()
+    with pytest.raises(ConnectionError):
+        fails(9)
+    assert len(calls) == 4
+    assert error_event(ValueError("x"), step="a")["can_recover"] is False
