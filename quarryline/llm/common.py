@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.tables import read_table, settle, shared_folder
+from ..plans.tables import read_table, settle
 
-__all__ = ["col", "fresh", "lower_ascii", "rank_within", "read_table", "row_ids", "settle", "shared_folder", "small_batches"]
+__all__ = ["col", "fresh", "rank_within", "read_table", "row_ids", "settle", "small_batches"]
 
 #: What one Arrow batch to a Python worker may hold: with it both sides' buffers stay small, whatever a text's length.
 BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
@@ -42,11 +42,6 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z to a-z, all else untouched."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 #: Rows of one chunk of row_ids(): the most that a window of rank_within() orders together.
 CHUNK_BITS = 16
 
