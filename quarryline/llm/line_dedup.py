@@ -34,9 +34,12 @@ MIN_CHANGE = 0.5
 
 
 def _masked_lines(text: Column) -> Column:
-    """The lines of a text with digit runs masked and other white space as single spaces; most texts need neither."""
+    """The lines of a text with digit runs masked and other white space as single spaces; most texts need neither.
+
+    Conditions read the text itself: an expression that is named twice here would be computed twice.
+    """
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, "[0-9]+", "<*>")).otherwise(text)
-    odd = [F.contains(masked, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")]
+    odd = [F.contains(text, F.lit(c)) for c in ("  ", "\t", "\x0b", "\x0c", "\r")]
     spaced = F.regexp_replace(masked, "[\\x09\\x0B-\\x0D ]{2,}|[\\x09\\x0B-\\x0D]", " ")
     return F.split(F.when(reduce(or_, odd), spaced).otherwise(masked), "\n", -1)
 
