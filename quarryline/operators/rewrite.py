@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..plans.tables import settle
 from ..schema import DEFAULTS, Settings
 
 #: The built-in dictionary (fixed values).
@@ -93,7 +94,9 @@ def rewrite(rows: DataFrame, seed: int = 0, settings: Settings = DEFAULTS) -> Da
     table = F.create_map(*[x for k, v in SYNONYMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     terms = F.array(*map(F.lit, TERMS))
     clean = X.preprocess(F.col("text"))
-    out = rows.withColumn("_clean", clean).withColumn("_kept", preserved_terms(F.col("_clean")))
+    # written tables, as Catalyst would else compute these per sentence and word
+    out = settle(rows.withColumn("_clean", clean))
+    out = settle(out.withColumn("_kept", preserved_terms(F.col("_clean"))))
     parts = F.filter(F.split(F.regexp_replace("_clean", "([.!?]) +", "$1\u0000"), "\u0000"), lambda s: s != "")
 
     def swapped(s: Column, i: Column) -> Column:
@@ -128,7 +131,7 @@ def rewrite(rows: DataFrame, seed: int = 0, settings: Settings = DEFAULTS) -> Da
 
     made = F.transform(parts, one_sentence)
     turn = _chance(F.col("id").cast("string"), F.lit(seed + 4)) < settings.reorder_rate
-    out = out.withColumn("_made", made)
+    out = settle(out.withColumn("_made", made))
     joined = F.array_join(F.when(turn, F.reverse("_made")).otherwise(F.col("_made")), " ")
     return out.withColumn("rewritten", X.correct_grammar(joined)).drop("_clean", "_kept", "_made")
 
