@@ -2,6 +2,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarryline.llm import embedding_dedup as E
@@ -52,6 +53,32 @@ def test_links_against_brute_force(spark, monkeypatch, seed, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def hot_cluster(n, cosine, width=64):
+    """Rows of which a third are distinct vectors with about that cosine between any two; the rest is random."""
+    rng = np.random.default_rng(n)
+    to_unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    own = to_unit(rng.normal(size=(n, width)))
+    own[: n // 3] = np.sqrt(cosine) * to_unit(rng.normal(size=(1, width))) + np.sqrt(1 - cosine) * own[: n // 3]
+    return own.astype(np.float32)
+
+
+def recall_of_links(spark, x):
+    """The share of the links of brute force that the operator finds; it may find no others."""
+    u = x / np.sqrt((x.astype(float) ** 2).sum(1, keepdims=True))
+    links = np.concatenate([(u[at : at + 1000] @ u.T >= 0.9).sum(1) for at in range(0, len(u), 1000)]) - 1
+    table = pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    rows = E.dedup_vectors(spark.createDataFrame(table)).collect()
+    found = np.zeros(len(x), int)
+    found[[r.vec_id for r in rows]] = [r.n_links for r in rows]
+    assert len(rows) == len(x) and (found <= links).all()
+    return found.sum() / links.sum()
+
+
+@pytest.mark.parametrize("n", [4_000, 12_000])
+def test_recall_on_a_hot_cluster_at_two_sizes(spark, n):
+    assert recall_of_links(spark, hot_cluster(n, 0.95)) >= 0.99
+
+
 def test_query_has_the_links_of_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     links, part = brute_force([r.vec_id for r in rows], np.array([r.embedding for r in rows], float))
