@@ -79,6 +79,11 @@ def test_recall_on_a_hot_cluster_at_two_sizes(spark, n):
     assert recall_of_links(spark, hot_cluster(n, 0.95)) >= 0.99
 
 
+@pytest.mark.parametrize("n, cosine", [(24_000, 0.95), (24_000, 0.86), (48_000, 0.91)])
+def test_recall_on_a_cluster_that_crowds_the_pivots(spark, n, cosine):
+    assert recall_of_links(spark, hot_cluster(n, cosine)) >= 0.99
+
+
 def test_query_has_the_links_of_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     links, part = brute_force([r.vec_id for r in rows], np.array([r.embedding for r in rows], float))
