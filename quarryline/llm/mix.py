@@ -6,15 +6,19 @@ CAP times its source's size, and what it leaves is reshared by weight until no t
 Per source, the document rates r = min(CAP, exp(lambda * size / mean size)) are those of least relative entropy
 to one copy each under the word constraint sum(size * r) = target and the cap; lambda solves the convex dual by
 Newton steps on the logarithm of that sum, kept inside a bracket. A step is one aggregation of the (source, size)
-histogram, so it costs no pass over documents and a hot source is pre-aggregated. Rates become copies by order
-sampling: floor(r) copies for all, one more for those first by (hash uniform / fraction) while their words fit
-the target, then up to TOP_UPS more copies a source (two of a document at most) that fit into what is left, the largest first, and one that
-leaves less over than is missing without it, if there is one.
+histogram, so it costs no pass over documents and a hot source is pre-aggregated; its sums are decimals, so they do
+not depend on the order of partial sums. Rates become copies by order sampling: floor(r) copies for all, one more for
+those first by (hash uniform / fraction) while their words fit the target.
+
+What is then missing is less than one document, and is filled by falling size: each size class in turn gives as many
+further copies as fit (up to the cap), until what is left is smaller than every document that may still be taken; the
+smallest of these is taken as well if it leaves less over than is missing without it. So a source ends within half of
+its smallest document that has copies left, whatever its sizes. Within a class, copies go by hash of doc_id.
 
 Sizes are counts of runs of other characters than \\x09-\\x0D and \\x20. Documents of size 0, null texts among
 them, get one copy that takes no words. Sources without words have target 0. Repeated rows are shared out one
 by one; ties fall by doc_id (nulls first), then size, and rows equal in both are alike, so that reruns agree.
-An empty table gives no rows; other columns, whatever their names, pass through.
+An empty table gives no rows; other columns, whatever their names, pass through. A cap is a whole number of copies.
 """
 
 from __future__ import annotations
@@ -28,22 +32,23 @@ from pyspark.sql import functions as F
 from .common import col, rank_within, read_table, row_ids, settle
 
 WEIGHTS = (1.0, 2.0, 3.0)
-CAP = 3.0
+CAP = 3
 MAX_STEPS = 80
 TOLERANCE = 1e-7
 BRACKET = 1e6
-TOP_UPS = 4
 #: Priorities are cut into COARSE steps a unit, the one that matters into FINE.
 COARSE, FINE = 256, 4096
 #: Names of the columns that are added here; an input's own columns are set aside under other names.
 P = "_mix_"
+#: The type of sums that must not depend on the order of their parts.
+EXACT = "decimal(38,10)"
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(per_source: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
+def targets(per_source: DataFrame, weights: Sequence[float], cap: int) -> DataFrame:
     """per_source (source, words, filled) with a double `target`, by filling sources to a common level per weight."""
     ordered = row_ids(per_source.orderBy(F.col("source").asc_nulls_last()), "rid")
     chunk = F.shiftright("rid", 33)  # one written part; parts are in order
@@ -61,21 +66,21 @@ def targets(per_source: DataFrame, weights: Sequence[float], cap: float) -> Data
     while total:
         full = F.col("words") * cap <= F.col("weight") * level
         used, open_weight = weighted.agg(
-            F.coalesce(F.sum(F.when(full, F.col("words") * cap)), F.lit(0.0)),
-            F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0)),
+            F.coalesce(F.sum(F.when(full, F.col("words"))), F.lit(0)),
+            F.coalesce(F.sum(F.when(~full, F.col("weight").cast(EXACT))), F.lit(0)),
         ).first()
-        following = (total - used) / open_weight if open_weight > 0 else level
+        following = (total - cap * used) / float(open_weight) if open_weight > 0 else level
         if following <= level:
             break
         level = following
     return weighted.withColumn("target", F.least(F.col("words") * F.lit(float(cap)), F.col("weight") * F.lit(level)))
 
 
-def _rate(size: Column, lam: Column, mean: Column, cap: float) -> Column:
-    return F.when(lam.isNull(), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.least(lam * size / mean, F.lit(50.0)))))
+def _rate(size: Column, lam: Column, mean: Column, cap: int) -> Column:
+    return F.when(lam.isNull(), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(lam * size / mean, F.lit(50.0)))))
 
 
-def tilts(histogram: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFrame:
+def tilts(histogram: DataFrame, aims: DataFrame, cap: int = CAP) -> DataFrame:
     """aims (source, words, filled, target) with `lam` and `mean`; a null lam stands for the cap itself.
 
     histogram: (source, size, n).
@@ -84,7 +89,7 @@ def tilts(histogram: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFrame:
     at_cap = F.col("target") >= F.col("words") * cap * (1 - 1e-12)
     state = settle(
         aims.withColumn("mean", mean)
-        .withColumn("lam", F.when(~at_cap, F.lit(0.0)))
+        .withColumn("lam", F.when(~at_cap, F.ln(F.greatest(F.col("target") / F.col("words"), F.lit(1e-9)))))
         .withColumn("lo", F.lit(-BRACKET))
         .withColumn("hi", F.lit(BRACKET))
         .withColumn("done", at_cap)
@@ -101,8 +106,8 @@ def tilts(histogram: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFrame:
             h.join(s, F.col("h.source").eqNullSafe(F.col("s.source")))
             .groupBy(F.col("h.source").alias("key"))
             .agg(
-                F.sum(words * rate).alias("got"),
-                F.sum(F.when(rate < cap, words * rate * tilt).otherwise(0.0)).alias("slope"),
+                F.sum((words * rate).cast(EXACT)).cast("double").alias("got"),
+                F.sum(F.when(rate < cap, words * rate * tilt).otherwise(0.0).cast(EXACT)).cast("double").alias("slope"),
             )
         )
         over = F.col("got") > F.col("target")
@@ -119,7 +124,7 @@ def tilts(histogram: DataFrame, aims: DataFrame, cap: float = CAP) -> DataFrame:
     return state.drop("lo", "hi", "done")
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """docs (doc_id, text, source and any others) with long `size`, `source_size`, double `target` and `rate`, int
     `copies` and long `taken`. Columns of docs that have these names are replaced.
     """
@@ -140,8 +145,49 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: float = CAP) -
     )
 
 
-def mix_sizes(rows: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
+#: Further copies by falling size: (size, items, t) of each class that gives t. acc.last is the smallest class with copies left.
+_FILL = """aggregate(classes,
+  named_struct('room', room, 'last', cast(null as struct<size:bigint,items:bigint>),
+               'taken', cast(array() as array<struct<size:bigint,items:bigint,t:bigint>>)),
+  (acc, x) -> named_struct(
+    'room', acc.room - x.size * least(x.spare, acc.room div x.size),
+    'last', if(x.spare > acc.room div x.size, named_struct('size', x.size, 'items', x.items), acc.last),
+    'taken', if(acc.room >= x.size,
+       concat(acc.taken, array(named_struct('size', x.size, 'items', x.items, 't', least(x.spare, acc.room div x.size)))), acc.taken)),
+  acc -> if(acc.last.size < 2 * acc.room,
+    concat(acc.taken, array(named_struct('size', acc.last.size, 'items', acc.last.items, 't', 1L))), acc.taken))"""
+
+
+def fill(state: DataFrame, cap: int) -> DataFrame:
+    """(key, id, size, n, copies, extra): the items of state (key, id, size, n, copies, target) that get further copies.
+
+    A source is missing less than one document, so its classes of less than twice that are no more than that document
+    has words, twice: they fit one row. Of a class that gives t copies the items that come first by hash are taken. To
+    rank no more than some of a large class, only those below a hash of (4 t + 64) in `items` are ranked; that fewer
+    than t of them are there has a probability below 1e-25.
+    """
+    room = state.groupBy("key").agg((F.floor(F.max("target")) - F.sum(F.col("copies") * F.col("size"))).alias("room"))
+    room = room.where("room > 0").select(F.col("key").alias("rkey"), "room")
+    spare = F.col("n") * cap - F.col("copies")
+    open_items = state.where((F.col("size") > 0) & (spare > 0)).withColumn("spare", spare)
+    classes = open_items.groupBy("key", "size").agg(F.sum("spare").alias("spare"), F.count("*").alias("items"))
+    classes = classes.join(room, F.col("key").eqNullSafe(F.col("rkey"))).where("size < 2 * room")
+    lists = classes.groupBy("key", "room").agg(F.sort_array(F.collect_list(F.struct("size", "spare", "items")), asc=False).alias("classes"))
+    taken = lists.select(F.col("key").alias("tkey"), F.explode(F.expr(_FILL)).alias("x"))
+    taken = settle(taken.groupBy("tkey", F.col("x.size").alias("tsize"), F.col("x.items").alias("items")).agg(F.sum("x.t").alias("t")))
+    hashed = F.xxhash64("id", F.lit("fill"))
+    chance = (F.shiftrightunsigned(hashed, 12) + 1).cast("double") / float(1 << 52)
+    some = open_items.join(taken, F.col("key").eqNullSafe(F.col("tkey")) & (F.col("size") == F.col("tsize")))
+    some = some.where(chance * F.col("items") <= 4 * F.col("t") + 64)
+    through = F.sum("spare").over(W.partitionBy("key", "size").orderBy(hashed, "id"))
+    extra = F.least(F.col("spare"), F.col("t") - through + F.col("spare"))
+    return some.select("key", "id", "size", "n", "copies", extra.alias("extra")).where("extra > 0")
+
+
+def mix_sizes(rows: DataFrame, weights: Sequence[float], cap: int) -> DataFrame:
     """rows (a table of row_ids) with P + words, target, rate and copies; rows has P + id, source, size and rid."""
+    if cap != int(cap) or cap < 1:
+        raise ValueError("a cap is a whole number of copies")
     histogram = settle(
         rows.groupBy(F.col(f"{P}source").alias("source"), F.col(f"{P}size").alias("size")).agg(F.count("*").alias("n"))
     )
@@ -215,56 +261,32 @@ def mix_sizes(rows: DataFrame, weights: Sequence[float], cap: float) -> DataFram
 
     before = F.col(f"{P}p").isNotNull() & (F.col(f"{P}edge").isNull() | (order < F.col(f"{P}edge")))
     at_edge = F.coalesce(order == F.col(f"{P}edge"), F.lit(False)) & F.col(f"{P}p").isNotNull()
-    # a source without an edge row took all of its open items; one with an edge may still lack up to a document
     state = settle(
         with_edge(items).select(
             F.col(f"{P}key").alias("key"), F.col(f"{P}id").alias("id"), F.col(f"{P}size").alias("size"), "n",
             (F.col("n") * F.col(f"{P}base") + F.when(before, F.col("n")).when(at_edge, F.col(f"{P}fit")).otherwise(0)).alias("copies"),
-            F.col(f"{P}target").alias("target"),
+            F.col(f"{P}target").alias("target"), at_edge.alias("edge"),
         )
     )
-    extras: DataFrame | None = None
-    # the last turn looks for the smallest document that leaves less words over than are missing without it
-    room = settle(
-        state.groupBy("key", "target")
-        .agg(F.sum(F.col("copies") * F.col("size")).alias("got"))
-        .select("key", (F.floor("target") - F.col("got")).alias("room"))
+    # the items whose copies are not what their rate and place alone give: one at each edge, and those that fill
+    own = state.where("edge").select("key", "id", "size", "n", "copies", F.lit(0).cast("long").alias("extra"))
+    odd = settle(
+        own.unionByName(fill(state, cap))
+        .groupBy("key", "id", "size", "n", "copies")
+        .agg(F.sum("extra").alias("extra"))
+        .select(*[F.col(c).alias(f"{P}o{c}") for c in ("key", "id", "size", "n")], (F.col("copies") + F.col("extra")).alias(f"{P}all"))
     )
-    candidates = state.where((F.col("n") == 1) & (F.col("size") > 0)).select("key", "id", "size", "copies")
-    for turn in range(TOP_UPS + 1):
-        last = turn == TOP_UPS
-        c, have = candidates.alias("c"), F.col("c.copies")
-        if extras is not None:
-            used = extras.groupBy("key", "id", "size").agg(F.count("*").alias("more")).alias("x")
-            c = c.join(used, [F.col(f"c.{k}").eqNullSafe(F.col(f"x.{k}")) for k in ("key", "id", "size")], "left")
-            c, have = c.where("x.more is null or x.more < 2"), have + F.coalesce("x.more", F.lit(0))
-        c = c.where(have + 1 <= cap)
-        fits = c.join(room.alias("r"), F.col("c.key").eqNullSafe(F.col("r.key")))
-        fits = fits.where("c.size > r.room and c.size < 2 * r.room" if last else "c.size <= r.room")
-        rank = F.struct((-F.col("c.size") if last else F.col("c.size")).alias("s"), F.xxhash64("c.id").alias("h"), F.col("c.id"))
-        best = settle(
-            fits.groupBy(F.col("c.key").alias("key"))
-            .agg(F.max_by(F.struct("c.id", "c.size"), rank).alias("b"))
-            .select("key", "b.id", "b.size")
-        )
-        extras = best if extras is None else extras.unionByName(best)
-        gone = best.select(F.col("key").alias("bkey"), F.col("size").alias("bsize"))
-        room = settle(
-            room.join(gone, F.col("key").eqNullSafe(F.col("bkey")), "left").select(
-                "key", (F.col("room") - F.coalesce("bsize", F.lit(0))).alias("room")
-            )
-        )
-    more = settle(extras.groupBy("key").agg(F.collect_list(F.struct("id", "size")).alias(f"{P}more")).withColumnRenamed("key", f"{P}mkey"))
-    final = with_edge(rated(rows))
-    final = final.join(more, F.col(f"{P}key").eqNullSafe(F.col(f"{P}mkey")), "left")
-    mine = F.filter(f"{P}more", lambda m: m["id"].eqNullSafe(F.col(f"{P}id")) & (m["size"] == size))
-    extra = F.coalesce(F.size(mine), F.lit(0))
-    one = F.when(before, F.lit(1)).otherwise(0)
-    plain = final.where(~at_edge).withColumn(f"{P}copies", (F.col(f"{P}base") + one + extra).cast("int"))
-    edges = rank_within(final.where(at_edge), [f"{P}key"], f"{P}rid", f"{P}rank")
-    first = F.when(F.col(f"{P}rank") < F.col(f"{P}fit"), F.lit(1)).otherwise(0)
-    edges = edges.withColumn(f"{P}copies", (F.col(f"{P}base") + first + extra).cast("int")).drop(f"{P}rank")
-    return plain.unionByName(edges)
+    pairs = [(f"{P}key", f"{P}okey"), (f"{P}id", f"{P}oid"), (f"{P}size", f"{P}osize")]
+    final = with_edge(rated(rows)).join(odd, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs], "left")
+    usual = F.col(f"{P}base") + F.when(before, F.lit(1)).otherwise(0)
+    total, n = F.col(f"{P}all"), F.col(f"{P}on")
+    done = final.where(n.isNull() | (n == 1)).withColumn(f"{P}copies", F.coalesce(total, usual).cast("int"))
+    if odd.where(n > 1).isEmpty():
+        return done
+    # rows that are alike share their copies out evenly
+    alike = rank_within(final.where(n > 1), [f"{P}key", f"{P}id", f"{P}size"], f"{P}rid", f"{P}rank")
+    more = F.when(F.col(f"{P}rank") < total % n, F.lit(1)).otherwise(0)
+    return done.unionByName(alike.withColumn(f"{P}copies", (F.floor(total / n) + more).cast("int")).drop(f"{P}rank"))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
