@@ -100,7 +100,7 @@ FORMS = (
     ("see", r"(?:see|refer to|read) (?:the )?(?:file )?", r"(?: for (?:more )?(?:details|information))", ("see", "refer", "read"), 30, 0.6),
 )
 
-#: Passages of the licenses themselves and other notices: label, pattern, a word, priority, weight.
+#: Passages of the licenses themselves and other notices: label, pattern, words of which a text must hold one, priority, weight.
 NOTICES = (
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby", 100, 1.0),
     ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "substantial", 90, 0.95),
@@ -128,6 +128,127 @@ NOTICES = (
     ("cc-by", r"creativecommons org licen[cs]es by(?= [0-9])", "creativecommons", 89, 0.95),
     ("cc0", r"creativecommons org publicdomain zero", "creativecommons", 90, 0.95),
     ("public-domain", r"(?:is|are|been|placed|dedicated) (?:in|into|to) the public domain", "domain", 60, 0.8),
+    ("mit", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicen[cs]e and or sell copies", "sublicense|sublicence", 95, 0.95),
+    ("mit", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability", "merchantability", 88, 0.85),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim damages or other liability", "holders", 86, 0.85),
+    ("mit", r"this (?:project|package|code|software|work|repository|library) is mit licen[cs]ed", "mit", 62, 0.95),
+    ("mit", r"dual licen[cs]ed (?:under )?(?:the )?mit (?:licen[cs]e )?(?:or|and) (?:the )?(?:apache|gpl|bsd)", "dual", 66, 0.9),
+    ("x11", r"except as contained in this notice the names? of (?:[^ ]+ ){1,12}?shall not be used in advertising", "advertising", 96, 0.95),
+    ("hpnd", r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", "fee", 100, 1.0),
+    ("hpnd", r"makes no representations about the suitability of this software for any purpose", "suitability", 80, 0.8),
+    ("ntp", r"permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted", "fee", 100, 1.0),
+    ("isc", r"the software is provided as is and the author disclaims all warranties with regard to this software", "disclaims", 92, 0.95),
+    ("isc", r"in no event shall the author be liable for any special direct indirect or consequential damages", "consequential", 85, 0.8),
+    ("curl", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", "fee", 100, 1.0),
+    ("bsd", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "reproduce", 85, 0.85),
+    ("bsd", r"this software is provided by (?:the )?(?:copyright holders and contributors|regents and contributors|authors?) as is and any express or implied warranties", "warranties", 90, 0.9),
+    ("bsd", r"in no event shall the (?:copyright (?:holders?|owner)|regents|authors?) or contributors be liable", "contributors", 84, 0.85),
+    ("bsd", r"the regents of the university of california", "regents", 45, 0.5),
+    ("bsd-2-clause", r"the views and conclusions contained in the software and documentation are those of the authors", "conclusions", 87, 0.9),
+    ("bsd-2-clause-patent", r"each copyright holder and contributor hereby grants to those receiving rights under this licen[cs]e a perpetual worldwide", "receiving", 97, 1.0),
+    ("bsd-3-clause-clear", r"no express or implied licen[cs]es to any party s patent rights are granted by this licen[cs]e", "patent", 97, 1.0),
+    ("apache-2.0", r"licen[cs]ed to the apache software foundation asf under one or more contributor licen[cs]e agreements", "asf", 97, 1.0),
+    ("apache-2.0", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e", "irrevocable", 97, 1.0),
+    ("apache-2.0", r"see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e", "governing", 94, 0.95),
+    ("apache-2.0", r"terms and conditions for use reproduction and distribution", "reproduction", 80, 0.8),
+    ("apache-1.1", r"this product includes software developed by the apache (?:software foundation|group)", "apache", 95, 0.95),
+    ("apache-1.1", r"products derived from this software may not be called apache nor may apache appear in their name", "apache", 96, 1.0),
+    ("gpl", r"this program is distributed in the hope that it will be useful but without any warranty", "hope", 92, 0.95),
+    ("gpl", r"you should have received a copy of the gnu general public licen[cs]e along with this (?:program|software|file|package)", "received", 93, 0.95),
+    ("gpl", r"the licen[cs]es for most software (?:and other practical works )?are designed to take away your freedom to share and change", "freedom", 100, 1.0),
+    ("gpl", r"everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed", "verbatim", 90, 0.9),
+    ("gpl-2.0", r"gnu general public licen[cs]e version 2 june 1991", "june", 101, 1.0),
+    ("gpl-3.0", r"gnu general public licen[cs]e version 3 29 june 2007", "june", 101, 1.0),
+    ("gpl-2.0", r"under (?:the )?(?:terms of (?:the )?)?(?:gnu )?gpl ?v?2 only", "only", 76, 0.95),
+    ("lgpl-2.0", r"gnu library general public licen[cs]e version 2 june 1991", "june", 101, 1.0),
+    ("lgpl-2.1", r"gnu lesser general public licen[cs]e version 2 1 february 1999", "february", 101, 1.0),
+    ("lgpl-3.0", r"gnu lesser general public licen[cs]e version 3 29 june 2007", "june", 101, 1.0),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e", "received", 95, 0.95),
+    ("lgpl", r"this library is distributed in the hope that it will be useful", "hope", 93, 0.95),
+    ("agpl-3.0", r"gnu affero general public licen[cs]e version 3 19 november 2007", "november", 101, 1.0),
+    ("agpl-3.0", r"you should have received a copy of the gnu affero general public licen[cs]e", "affero", 96, 1.0),
+    ("agpl-3.0", r"if your software can interact with users remotely through a (?:computer )?network", "remotely", 95, 0.95),
+    ("gpl-classpath", r"permission to link this library with independent modules to produce an executable", "executable", 97, 0.95),
+    ("gpl-classpath", r"classpath exception", "classpath", 70, 0.9),
+    ("gcc-exception", r"gcc runtime library exception", "gcc", 82, 0.95),
+    ("gpl-openssl", r"permission to link (?:the code of )?(?:portions of )?this program with (?:the )?openssl", "openssl", 90, 0.95),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", "documentation", 100, 1.0),
+    ("gfdl", r"with no invariant sections no front cover texts and no back cover texts", "invariant", 95, 0.95),
+    ("mpl-2.0", r"if a copy of the mpl was not distributed with this file you can obtain one at", "mpl", 99, 1.0),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public licen[cs]e version 1 1", "mozilla", 100, 1.0),
+    ("mpl-1.1", r"see the licen[cs]e for the specific language governing rights and limitations under the licen[cs]e", "governing", 93, 0.85),
+    ("npl", r"netscape public licen[cs]e", "netscape", 60, 0.9),
+    ("epl-1.0", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e v ?1 0", "eclipse", 100, 1.0),
+    ("epl-2.0", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e (?:v ?)?2 0", "eclipse", 100, 1.0),
+    ("cddl", r"the contents of this file are subject to the terms of the common development and distribution licen[cs]e", "distribution", 100, 1.0),
+    ("cpl", r"the accompanying program is provided under the terms of this common public licen[cs]e", "accompanying", 100, 1.0),
+    ("eupl", r"licen[cs]ed under the eupl", "eupl", 80, 0.95),
+    ("cecill", r"governed by the cecill(?: [abc])? licen[cs]e under french law", "cecill", 100, 1.0),
+    ("cecill", r"cecill(?: [abc])? licen[cs]e", "cecill", 50, 0.8),
+    ("cc-by", r"this (?:work|article) is licen[cs]ed under (?:a|the) creative commons attribution(?: [1-4] [0-9])? international", "attribution", 88, 0.95),
+    ("cc-by", r"open access article distributed under the (?:terms of the )?creative commons attribution licen[cs]e", "access", 90, 0.95),
+    ("cc-by-sa", r"text is available under the creative commons attribution share ?alike", "available", 90, 0.95),
+    ("cc0", r"to the extent possible under law (?:[^ ]+ ){1,12}?has waived all copyright and related or neighboring rights", "waived", 100, 1.0),
+    ("cc0", r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives", "affirmer", 100, 1.0),
+    ("creative-commons", r"some rights reserved", "reserved", 25, 0.5),
+    ("pddl", r"open data commons public domain dedication and licen[cs]e", "dedication", 95, 1.0),
+    ("odc-by", r"open data commons attribution licen[cs]e", "attribution", 85, 0.95),
+    ("odbl", r"which is made available here under the open database licen[cs]e", "database", 100, 1.0),
+    ("odbl", r"openstreetmap contributors", "openstreetmap", 40, 0.5),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software", "compile", 98, 1.0),
+    ("unlicense", r"in jurisdictions that recognize copyright laws the author or authors of this software dedicate", "jurisdictions", 98, 1.0),
+    ("public-domain", r"this (?:file|code|software|work) (?:has been|is|was) (?:hereby )?(?:placed|released|dedicated|put) (?:in|into|to) the public domain", "domain", 85, 0.95),
+    ("public-domain", r"no rights reserved", "reserved", 30, 0.6),
+    ("public-domain", r"work of the (?:u s|united states) government", "government", 60, 0.7),
+    ("public-domain", r"gemeinfrei(?:es werk)?", "gemeinfrei|gemeinfreies", 40, 0.6),
+    ("blessing", r"the author disclaims copyright to this source code in place of a legal notice here is a blessing", "blessing", 100, 1.0),
+    ("wtfpl", r"you just do what the fuck you want to", "fuck", 95, 0.95),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document", "verbatim", 91, 0.95),
+    ("beerware", r"if we meet some ?day and you think this stuff is worth it you can buy me a beer", "beer", 100, 1.0),
+    ("json", r"the software shall be used for good not evil", "evil", 100, 1.0),
+    ("zlib", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", "misrepresented", 98, 1.0),
+    ("zlib", r"altered source versions must be plainly marked as such", "altered", 97, 0.95),
+    ("libpng", r"the png reference library is supplied as is", "png", 97, 1.0),
+    ("ijg", r"this software is based in part on the work of the independent jpeg group", "jpeg", 97, 1.0),
+    ("freetype", r"portions of this software are copyright (?:[^ ]+ ){1,8}?the freetype project", "freetype", 97, 1.0),
+    ("boost", r"distributed under the boost software licen[cs]e version 1 0", "boost", 99, 1.0),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit", "openssl", 100, 1.0),
+    ("openssl", r"this product includes cryptographic software written by eric young", "cryptographic", 100, 1.0),
+    ("python", r"this licen[cs]e agreement is between the python software foundation psf", "psf", 100, 1.0),
+    ("php", r"this product includes php software freely available from", "php", 100, 1.0),
+    ("ruby", r"you can redistribute it and or modify it under either the terms of the (?:2 clause bsdl|gpl)", "redistribute", 96, 0.95),
+    ("perl", r"you can redistribute it and or modify it under the same terms as perl", "perl", 96, 1.0),
+    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied", "intent", 100, 1.0),
+    ("vim", r"vim is charityware you can use and copy it as much as you like", "charityware", 100, 1.0),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", "fee", 101, 1.0),
+    ("w3c", r"w3c software (?:and document )?(?:notice and )?licen[cs]e", "w3c", 88, 0.95),
+    ("unicode", r"unicode (?:inc )?licen[cs]e agreement data files and software", "unicode", 95, 1.0),
+    ("ofl", r"this font software is licen[cs]ed under the sil open font licen[cs]e version 1 1", "sil", 100, 1.0),
+    ("ofl", r"the fonts and derivatives however cannot be released under any other type of licen[cs]e", "fonts", 98, 1.0),
+    ("ofl", r"with reserved font name", "font", 70, 0.85),
+    ("bsl", r"change date (?:[^ ]+ ){1,6}?change licen[cs]e", "change", 75, 0.8),
+    ("bsl", r"additional use grant", "grant", 60, 0.7),
+    ("sspl", r"making the functionality of the program or (?:a )?modified version available to third parties as a service", "functionality", 99, 1.0),
+    ("elastic", r"you may not provide the software to third parties as a hosted or managed service", "hosted", 100, 1.0),
+    ("commons-clause", r"commons clause licen[cs]e condition", "clause", 95, 1.0),
+    ("polyform", r"polyform (?:noncommercial|small business|shield|perimeter|strict|internal use|free trial) licen[cs]e", "polyform", 95, 1.0),
+    ("openrail", r"(?:creativeml |bigscience |bigcode )?open ?rail(?: [msd])?(?: licen[cs]e)?", "openrail|rail", 55, 0.85),
+    ("llama", r"llama (?:[2-4](?: [0-9])? )?community licen[cs]e", "llama", 85, 0.95),
+    ("gemma", r"gemma terms of use", "gemma", 85, 0.95),
+    ("ms-eula", r"microsoft software licen[cs]e terms", "microsoft", 85, 0.95),
+    ("oracle", r"oracle (?:binary code|technology network) licen[cs]e", "oracle", 88, 0.95),
+    ("intel", r"intel simplified software licen[cs]e", "intel", 88, 0.95),
+    ("nvidia", r"nvidia (?:software|source code) licen[cs]e", "nvidia", 88, 0.95),
+    ("eula", r"end user licen[cs]e agreement", "agreement", 50, 0.75),
+    ("eula", r"by (?:installing|using|downloading|clicking) (?:[^ ]+ ){1,12}?you (?:agree|accept) (?:to be bound by|the terms)", "agree|accept", 42, 0.6),
+    ("proprietary", r"no part of this (?:publication|book|document|work|site|website) may be (?:reproduced|copied|transmitted|distributed)", "part", 75, 0.85),
+    ("proprietary", r"this material may not be published broadcast rewritten or redistributed", "rewritten", 90, 0.95),
+    ("proprietary", r"reproduction (?:in whole or in part )?(?:without (?:written )?permission )?is (?:strictly )?prohibited", "prohibited", 64, 0.8),
+    ("proprietary", r"without (?:the )?(?:prior )?(?:express )?written (?:permission|consent) of", "written", 32, 0.5),
+    ("proprietary", r"contains (?:valuable )?trade secrets of", "trade", 55, 0.7),
+    ("proprietary", r"nachdruck (?:auch auszugsweise )?(?:nur )?mit genehmigung", "nachdruck", 62, 0.8),
+    ("proprietary", r"reproduction (?:m\xc3\xaame partielle )?interdite", "interdite", 62, 0.8),
+    ("proprietary", r"prohibida (?:la |su )?reproducci\xc3\xb3n", "prohibida", 62, 0.8),
     ("all-rights-reserved", r"all rights reserved", "reserved", 20, 0.5),
     ("all-rights-reserved", r"alle rechte vorbehalten", "vorbehalten", 20, 0.5),
     ("all-rights-reserved", r"tous droits r\xc3\xa9serv\xc3\xa9s", "droits", 20, 0.5),
@@ -152,7 +273,7 @@ def build_rules() -> tuple[Rule, ...]:
     for phrase, label in BASE:
         found.append((label, "base", 45, 0.8, tuple((w.encode(),) for w in phrase.split()), _compiled(phrase), True))
     for label, pattern, word, priority, weight in NOTICES:
-        found.append((label, "notice", priority, weight, (_words(word),) if word else (), _compiled(pattern), False))
+        found.append((label, "notice", priority, weight, (_words(*word.split("|")),), _compiled(pattern), False))
     for label, name, words, ids in LICENSES:
         for kind, before, after, gate, priority, weight in FORMS:
             pattern = _compiled(f"{before}(?:{name}){after}")

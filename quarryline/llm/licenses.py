@@ -3,7 +3,8 @@
 A text's words are what `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` matches with A-Z lower-cased. A rule is tried only on
 texts that hold its keywords (an Aho-Corasick pass over the whole text finds the words of all rules at once); its pattern runs over the words joined by single spaces. Overlaps are resolved in rule order: a detection
 whose words lie inside those of one that was kept before it (of a rule of higher priority, or an earlier rule of
-the same) is suppressed. Base phrases are rules as well; their labels stand even where a longer detection
+the same) is suppressed; the matches of one rule are searched among the kept ones together, so a text of very many
+detections takes linear time. Base phrases are rules as well; their labels stand even where a longer detection
 suppresses them, and all their places count, overlapping ones too.
 
 score is 1 - prod(1 - weight) over the labels with a kept detection, each with its surest weight: 0 for none.
@@ -57,6 +58,23 @@ class Gate:
 GATE = Gate(RULES)
 
 
+class Kept:
+    """The intervals kept so far, by their starts, with the furthest end of all that start no later."""
+
+    def __init__(self) -> None:
+        self.starts = self.ends = np.zeros(0, np.int64)
+
+    def hold(self, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Which intervals lie inside a kept one: a search each, however many are kept."""
+        at = np.searchsorted(self.starts, first, "right") - 1
+        return (at >= 0) & (np.r_[self.ends, 0][at] >= after)
+
+    def add(self, first: np.ndarray, after: np.ndarray) -> None:
+        starts, ends = np.r_[self.starts, first], np.r_[self.ends, after]
+        order = np.argsort(starts, kind="stable")
+        self.starts, self.ends = starts[order], np.maximum.accumulate(ends[order])
+
+
 def detect(low: bytes) -> tuple[int, list[tuple[Rule, int, int, bool]]]:
     """The number of words, and (rule, first word, word after the last, kept) in rule order, then by place."""
     starts = words_of(low)
@@ -66,15 +84,15 @@ def detect(low: bytes) -> tuple[int, list[tuple[Rule, int, int, bool]]]:
         return len(starts), []
     begins = np.r_[0, np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) + 1]
     found: list[tuple[Rule, int, int, bool]] = []
-    kept: list[tuple[int, int]] = []
+    kept = Kept()
     for rule in rules:
-        for m in rule.pattern.finditer(joined):
-            first = int(np.searchsorted(begins, m.start(), "right")) - 1
-            after = int(np.searchsorted(begins, m.end() - 1, "right"))
-            inside = any(a <= first and after <= b for a, b in kept)
-            found.append((rule, first, after, not inside))
-            if not inside:
-                kept.append((first, after))
+        spans = np.array([m.span() for m in rule.pattern.finditer(joined)], np.int64)
+        if len(spans):
+            first = np.searchsorted(begins, spans[:, 0], "right") - 1
+            after = np.searchsorted(begins, spans[:, 1] - 1, "right")
+            free = ~kept.hold(first, after)
+            found += [(rule, a, b, k) for a, b, k in zip(first.tolist(), after.tolist(), free.tolist(), strict=True)]
+            kept.add(first[free], after[free])
     return len(starts), found
 
 

@@ -1,10 +1,15 @@
+import bisect
+import itertools
+import math
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from quarryline.llm.license_rules import BASE
+from quarryline.llm import licenses as L
+from quarryline.llm.license_rules import BASE, FORMS, LICENSES, NOTICES
 from quarryline.llm.licenses import GATE, RULES, char_spans, detect, op1_license_scan, scan_licenses
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -89,3 +94,51 @@ def test_query_equals_brute_force(spark, sf_dir):
         assert (r.first_word, r.last_word) == ((starts[0], starts[-1]) if starts else (None, None))
         assert r.base_labels == ",".join(sorted(labels))
         assert labels <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def model(text):
+    """Kept detections by trying every rule everywhere, without the gate, and every kept interval."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    joined, kept = " ".join(words).encode(), []
+    begins = list(itertools.accumulate((len(w.encode()) + 1 for w in words), initial=0))
+    for rule in L.RULES:
+        for m in rule.pattern.finditer(joined):
+            first, after = bisect.bisect(begins, m.start()) - 1, bisect.bisect(begins, m.end() - 1)
+            if not any(a <= first and after <= b for _, a, b in kept):
+                kept.append((rule, first, after))
+    base = {r.label for r in L.RULES if r.base and r.pattern.search(joined)}
+    surest = {}
+    for r, *_ in [*kept, *((r, 0, 0) for r in L.RULES if r.base and r.label in base)]:
+        surest[r.label] = max(surest.get(r.label, 0), r.weight)
+    return ",".join(sorted(surest)), 1 - math.prod(1 - w for w in surest.values())
+
+
+def test_labels_and_scores_equal_a_model_without_gate(spark, sf_dir, tmp_path):
+    def spelt(rule):  # a text that the rule's pattern matches, as far as plain words and first choices go
+        x = rule.pattern.pattern.decode("latin-1")[12:-9]
+        x = re.sub(r"\(\?:([^()|]*)(?:\|[^()]*)?\)\??", r"\1", x)
+        return re.sub(r" \?|\[cs\]|\?", lambda m: {" ?": " ", "[cs]": "s"}.get(m[0], ""), x)
+
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts += [f"see below: {spelt(r)}. Copyright (c) 2020 MIT License {spelt(L.RULES[-r.number])}" for r in L.RULES[::3]]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in L.op1_license_scan(spark, str(tmp_path)).collect()}
+    hits = 0
+    for i, t in rows:
+        labels, score = model(t or "")
+        assert got[i].labels == labels and math.isclose(got[i].score, score, abs_tol=1e-9), t[:300]
+        hits += bool(labels)
+    assert hits > 150
+
+
+def test_very_many_detections_take_linear_time():
+    began = time.perf_counter()
+    n, found = L.detect(b"mit license " * 500_000)
+    assert n == 1_000_000 and sum(k for r, _, _, k in found if r.base) == 500_000
+    assert time.perf_counter() - began < 60
+
+
+def test_rules_are_many_and_written():
+    assert len(NOTICES) + len(LICENSES) + len(FORMS) + len(BASE) >= 200 and len(L.RULES) >= 500
+    assert len({r.label for r in L.RULES}) >= 80
