@@ -1,18 +1,20 @@
 """Near-duplicate embeddings by a pivot-permutation index.
 
 Equal vectors are merged first. Reference points (pivots) are about 2 * sqrt(n) of the distinct vectors, at most
-MOST_PIVOTS, sampled by hash; every vector is then indexed by the ordered list of its PREFIX nearest pivots. The
-inverted list of a pivot holds the vectors that have it in their prefix; two vectors of a list that share at
-least SHARED pivots are a candidate pair, taken at the smallest pivot they share, and verified by cosine in double
-precision.
+MOST_PIVOTS (and what vectors.PIVOT_BYTES hold), sampled by hash; every vector is then described by the ordered list of
+its PREFIX nearest pivots. Candidates are pairs that share SHARED of these or more. Counting comes before any cosine,
+and on the numbers of pivots alone: in one order of all pivots, the rarest first, two sets of PREFIX that share SHARED
+have one in common among the first PREFIX - SHARED + 1 of each. So the inverted list of a pivot holds the vectors that
+have it among those, and the longest lists are hardly used. A pair is verified by cosine in double precision in the
+list of the rarest pivot it shares there, and every pair so found is linked.
 
 A dense region draws many pivots, among which its vectors' prefixes scatter. So the pivots are thinned, in their
 order, to leaders that have cosines below APART with each other: a group of near-copies holds about one of them,
 whatever its share of the rows. Each vector is also in the cell of its nearest leader, and all pairs of a cell are
 candidates, taken there and nowhere else. The tests hold recall on such groups against brute force (0.9 is required).
 
-A list of any length is dealt into blocks of BLOCK rows (a cell: CELL_BLOCK) and compared block pair by block pair, so
-no task holds more than two blocks; what leaves it is a count of links per vector and a spanning forest, never all pairs.
+A list of any length is dealt into blocks of BLOCK rows and compared block pair by block pair, so no task holds more
+than two blocks; what leaves it is a count of links per vector and a spanning forest, never all pairs.
 Pivots (a stated, bounded sample) are all that the driver holds of the vectors.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing: n_links 0, their own
@@ -35,12 +37,11 @@ from .components import connected_components
 from .vectors import is_finite, pivots_for, sample_vectors, stack
 
 THRESHOLD = 0.9
-MOST_PIVOTS = 1 << 14
-PREFIX = 12
-SHARED = 2
+MOST_PIVOTS = 1 << 16
+PREFIX = 16
+SHARED = 3
 APART = 0.7
-BLOCK = 512
-CELL_BLOCK = 2048
+BLOCK = 2048
 #: Pairs whose prefixes are compared at once, and vectors that are copied to their lists at once.
 PAIRS_AT_ONCE = 50_000
 ROWS_AT_ONCE = 256
@@ -93,11 +94,10 @@ def index(rows: DataFrame, pivots: np.ndarray, width: int, kind: str) -> DataFra
     return rows.select("node", "n", "embedding").mapInArrow(run, "node long, n long, vec binary, prefix array<int>")
 
 
-def linked_pairs(xa: np.ndarray, pa_: np.ndarray, xb: np.ndarray, pb: np.ndarray, pivot: int, shared: int, threshold: float) -> np.ndarray:
+def linked_pairs(xa: np.ndarray, pa_: np.ndarray, xb: np.ndarray, pb: np.ndarray, pivot: int, threshold: float) -> np.ndarray:
     """Which pairs are linked and belong to this pivot's list: a boolean matrix.
 
-    The cosine is taken first, for a block at a time; the pairs that pass it are looked up in the prefixes, but for
-    pairs of one cell: all of them belong to the cell's list.
+    A pair belongs to its cell's list, if both are of one cell, else to that of the first pivot that both are indexed by.
     """
     near = xa @ xb.T >= threshold
     if pivot < 0:
@@ -108,8 +108,7 @@ def linked_pairs(xa: np.ndarray, pa_: np.ndarray, xb: np.ndarray, pb: np.ndarray
     for at in range(0, len(left), PAIRS_AT_ONCE):
         i, j = left[at : at + PAIRS_AT_ONCE], right[at : at + PAIRS_AT_ONCE]
         both = (pa_[i][:, :, None] == pb[j][:, None, :]).any(2)
-        first = np.where(both, pa_[i], np.iinfo(np.int32).max).min(1)
-        near[i, j] = (both.sum(1) >= shared) & (first == pivot)
+        near[i, j] = np.where(both, pa_[i], np.iinfo(np.int32).max).min(1) == pivot
     return near
 
 
@@ -129,7 +128,7 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _block_pair(threshold: float, shared: int, kind: str):
+def _block_pair(threshold: float, kind: str):
     def compare(key: tuple, rows: pa.Table) -> pa.Table:
         pivot, i, j = (k.as_py() for k in key)
         nodes, n, block = (rows.column(c).to_numpy() for c in ("node", "n", "block"))
@@ -138,7 +137,7 @@ def _block_pair(threshold: float, shared: int, kind: str):
         near = np.zeros((len(nodes), len(nodes)), bool)
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
         if len(a) and len(b):
-            near[np.ix_(a, b)] = linked_pairs(x[a], prefix[a], x[b], prefix[b], pivot, shared, threshold)
+            near[np.ix_(a, b)] = linked_pairs(x[a], prefix[a], x[b], prefix[b], pivot, threshold)
             near |= near.T
         np.fill_diagonal(near, False)
         links = near @ n
@@ -154,8 +153,17 @@ def _block_pair(threshold: float, shared: int, kind: str):
     return compare
 
 
-def deal(indexed: DataFrame, blocks: dict[int, int]) -> DataFrame:
-    """Each vector once for each pivot of its prefix and each pair of blocks of that list it takes part in."""
+def rarest_first(sizes: dict[int, int], n: int) -> np.ndarray:
+    """The place of each of n pivots in the order of how many vectors have it in their prefix."""
+    order = sorted(range(n), key=lambda p: (sizes.get(p, 0), p))
+    place = np.zeros(n, np.int32)
+    place[order] = np.arange(n)
+    return place
+
+
+def deal(indexed: DataFrame, place: np.ndarray, blocks: dict[int, int]) -> DataFrame:
+    """Each vector once for its cell and each pivot it is indexed by (as places), and each pair of blocks of that list it takes part in."""
+    used = max(1, min(PREFIX, len(place)) - SHARED + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -163,6 +171,7 @@ def deal(indexed: DataFrame, blocks: dict[int, int]) -> DataFrame:
                 b = whole.slice(at, ROWS_AT_ONCE)
                 nodes = b.column("node").to_numpy()
                 prefix = b.column("prefix").flatten().to_numpy().reshape(len(nodes), -1)
+                prefix = np.c_[prefix[:, 0], np.sort(place[prefix[:, 1:]], axis=1)[:, :used]]
                 rows, p, i, j, block = [], [], [], [], []
                 for r in range(len(nodes)):
                     for pivot in prefix[r].tolist():
@@ -175,14 +184,15 @@ def deal(indexed: DataFrame, blocks: dict[int, int]) -> DataFrame:
                             j.append(max(own, other))
                             block.append(own)
                 taken = b.take(pa.array(rows, pa.int64()))
-                arrays = [*(pa.array(x, pa.int32()) for x in (p, i, j, block)), *(taken.column(c) for c in ("node", "n", "vec", "prefix"))]
+                lists = pa.array(list(prefix[rows]), pa.list_(pa.int32()))
+                arrays = [*(pa.array(x, pa.int32()) for x in (p, i, j, block)), *(taken.column(c) for c in ("node", "n", "vec")), lists]
                 yield pa.RecordBatch.from_arrays(arrays, ["pivot", "i", "j", "block", "node", "n", "vec", "prefix"])
 
     return indexed.mapInArrow(run, "pivot int, i int, j int, block int, node long, n long, vec binary, prefix array<int>")
 
 
-def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding)."""
+def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD, n_pivots: int | None = None) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each row of vectors (vec_id, embedding). n_pivots: in place of the rule's number."""
     small_batches(vectors.sparkSession)
     light = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     valid = is_finite(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
@@ -194,17 +204,18 @@ def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     )
     if not count:
         return alone
-    pivots = unit(sample_vectors(distinct, "embedding", pivots_for(count, MOST_PIVOTS), width))
+    pivots = unit(sample_vectors(distinct, "embedding", n_pivots or pivots_for(count, MOST_PIVOTS, width), width))
     kind = "<f4" if dict(distinct.dtypes)["embedding"] == "array<float>" else "<f8"
     indexed = settle(index(distinct, pivots, width, kind))
-    sizes = indexed.select(F.explode("prefix").alias("pivot")).groupBy("pivot").count().collect()  # one row a pivot
-    most = {True: CELL_BLOCK, False: BLOCK}
-    blocks = {r["pivot"]: -(-r["count"] // most[r["pivot"] < 0]) for r in sizes if r["count"] > most[r["pivot"] < 0]}
-    shared = min(SHARED, len(pivots))
+    held = indexed.select(F.explode("prefix").alias("pivot")).groupBy("pivot").count().collect()  # one row a pivot
+    sizes = {r["pivot"]: r["count"] for r in held}
+    place = rarest_first(sizes, len(pivots))
+    lists = {p if p < 0 else int(place[p]): n for p, n in sizes.items()}  # a list holds at most all that have its pivot
+    blocks = {p: -(-n // BLOCK) for p, n in lists.items() if n > BLOCK}
     found = settle(
-        deal(indexed, blocks)
+        deal(indexed, place, blocks)
         .groupBy("pivot", "i", "j")
-        .applyInArrow(_block_pair(threshold, shared, kind), "a long, b long, links long")
+        .applyInArrow(_block_pair(threshold, kind), "a long, b long, links long")
     )
     parts = settle(connected_components(found.where("b >= 0").select("a", "b")))
     links = found.where("b < 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -27,9 +27,13 @@ def stack(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def pivots_for(n: int, most: int) -> int:
-    """About 2 * sqrt(n) reference points: groups then grow with the square root of the rows."""
-    return max(1, min(most, n, math.ceil(2 * math.sqrt(n))))
+#: What the pivots may take as doubles; they are sent to every task.
+PIVOT_BYTES = 64 << 20
+
+
+def pivots_for(n: int, most: int, width: int = 1) -> int:
+    """About 2 * sqrt(n) reference points, so that groups grow with the square root of the rows; at most what PIVOT_BYTES hold."""
+    return max(1, min(most, n, PIVOT_BYTES // (8 * max(1, width)), math.ceil(2 * math.sqrt(n))))
 
 
 def sample_vectors(rows: DataFrame, vector: str, n: int, width: int) -> np.ndarray:
