@@ -84,6 +84,20 @@ def test_recall_on_a_cluster_that_crowds_the_pivots(spark, n, cosine):
     assert recall_of_links(spark, hot_cluster(n, cosine)) >= 0.99
 
 
+@pytest.mark.parametrize("n_pivots, width", [(400, 64), (2_000, 64), (16_384, 64), (2_000, 256)])
+def test_recall_of_pairs_near_the_threshold(spark, n_pivots, width):
+    rng = np.random.default_rng(n_pivots)
+    own = rng.normal(size=(18_000, width))
+    a = own[:1500] / np.linalg.norm(own[:1500], axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    c = rng.uniform(0.9005, 0.92, (len(a), 1))
+    x = np.concatenate([own, c * a + np.sqrt(1 - c * c) * b / np.linalg.norm(b, axis=1, keepdims=True)]).astype(np.float32)
+    table = pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    found = sum(r.n_links for r in E.dedup_vectors(spark.createDataFrame(table), n_pivots=n_pivots).where("n_links > 0").collect())
+    assert 0.99 * 2 * len(a) <= found <= 2 * len(a)
+
+
 def test_query_has_the_links_of_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").collect()
     links, part = brute_force([r.vec_id for r in rows], np.array([r.embedding for r in rows], float))
@@ -136,11 +150,31 @@ def test_bounds_spare_rows_that_cannot_serve(spark):
     placed, width = T.row_ids(data, "rid"), 4
     pivots = T.to_integers(near[[0, 100]]).astype(float)
     cells = T.settle(T.cells(placed, pivots, width))
-    groups = T.group_queries(T.summaries(cells, 20), pivots, 20)
-    dealt = T.replicate(cells, groups, width, 1)
+    groups = T.group_queries(T.thresholds(cells, pivots, width, 20), pivots)
+    dealt = T.replicate(T.needed(cells, groups, width), groups, {0: 1})
     assert dealt.where("side = 1").count() == 60
 
 
+def test_rows_go_to_the_groups_near_them(spark, monkeypatch):
+    monkeypatch.setattr(T, "QUERY_BLOCK", 32)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 64))
+    x = (centres[rng.integers(0, 30, 6000)] + 0.08 * rng.normal(size=(6000, 64))).astype(np.float32)
+    data = T.row_ids(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], KIND), "rid")
+    pivots = T.to_integers(x[:155].astype(float)).astype(float)
+    cells = T.settle(T.cells(data, pivots, 64))
+    groups = T.group_queries(T.thresholds(cells, pivots, 64, 20), pivots)
+    copies = T.needed(cells, groups, 64).selectExpr("sum(size(groups))").first()[0]
+    assert len(groups.blocks) >= 8 and copies < 0.35 * len(x) * len(groups.blocks)
+
+
+def test_repeated_ids_are_candidates_as_in_sql(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), v.tolist(), 0) for i, v in zip(rng.integers(0, 60, 200), rng.normal(size=(200, 16)), strict=True)]
+    spark.createDataFrame(rows, KIND).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert differences(T.op7_topk(spark, str(tmp_path)), connect(str(tmp_path)), T.SQL) == ""
+
+
 def test_top_k_edge_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, -0.5]), (0, [1.0, -0.5]), (20, [2.0]), (None, [0.3, 0.3]), (3, None), (40, []), (60, [nan, 1.0]), (80, [None, 1.0]), (5, [1.0, 1.0])]
