@@ -4,11 +4,12 @@ A document is its token ids and END. Full windows of the longest tier are cut of
 shortest tier that holds it. Within a window of documents the longest remaining piece opens a sequence of its
 tier; its gap is filled from shorter pieces, the longest that fits first, and at last by cutting one, so every
 sequence of a window but the last is exactly full at its tier's size (a power of two: no padding). The pieces of
-the last one go on into the task's next window; at the end of a task they are cut at powers of two. Sequences of
-a tier are dealt into step groups of STEP_TOKENS tokens each, so that a training step has as many tokens in
-whatever tier it draws from.
+the last one go on into the task's next window; at the end of a task they are cut at powers of two. The sequences of
+a tier, counted through over all tasks (a count for each task and tier), are dealt in that order into step groups of
+STEP_TOKENS tokens each, so that a training step has as many tokens in whatever tier it draws from; only the last
+group of a tier may have fewer.
 
-A task packs the documents of its own partition, so nothing is shuffled; memory is bounded by WINDOW_TOKENS and
+A task packs the documents of its own partition, so no document is shuffled; memory is bounded by WINDOW_TOKENS and
 WINDOW_DOCS and one text. Partitions give their number to the sequence ids; a task that is run again makes the
 same rows. A null text is an empty one (END alone); null doc_ids and repeated rows are packed like any other; an
 empty table gives no rows; other columns are not read.
@@ -24,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read_table, small_batches
+from .common import read_table, settle, small_batches
 from .tokens import words_of
 
 TIERS = (512, 1024, 2048, 4096)
@@ -37,6 +39,7 @@ WINDOW_DOCS = 20_000
 #: Sequences of one task have numbers below 1 << TASK_BITS.
 TASK_BITS = 36
 
+#: step_group is, while packing, the sequence's number in its task and tier.
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 #: A piece: its length, the number of its document in the window, its start there.
@@ -101,13 +104,13 @@ def _packer(path: str, tiers: Sequence[int], with_ids: bool):
             ids: list[np.ndarray] = []
             for tier, pieces in sequences:
                 offset = 0
-                nth = of_tier[tier] = of_tier.get(tier, 0) + 1
-                step = task + (tier.bit_length() << 30) + (nth - 1) // max(1, STEP_TOKENS // tier)
+                nth = of_tier.get(tier, 0)
+                of_tier[tier] = nth + 1
                 for n, i, at in pieces:
                     doc_id, own = docs[i]
                     part = own[at : at + n]
                     crc = zlib.crc32(part.astype("<u4").tobytes())
-                    out.append((doc_id, at, n, crc, len(own), task + serial, offset, tier, step))
+                    out.append((doc_id, at, n, crc, len(own), task + serial, offset, tier, nth))
                     if with_ids:
                         ids.append(part.astype(np.int32))
                     offset += n
@@ -153,7 +156,16 @@ def pack(docs: DataFrame, tokenizer: str, tiers: Sequence[int] = TIERS, with_ids
     """One row for each piece of docs (doc_id, text); with_ids adds the piece's token ids. tokenizer: a file's path."""
     small_batches(docs.sparkSession)
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return light.mapInArrow(_packer(tokenizer, tuple(tiers), with_ids), SCHEMA + ", ids array<int>" * with_ids)
+    packed = settle(light.mapInArrow(_packer(tokenizer, tuple(tiers), with_ids), SCHEMA + ", ids array<int>" * with_ids))
+    task = F.shiftright("sequence_id", TASK_BITS)
+    counts = packed.where("offset = 0").groupBy(task.alias("_task"), F.col("tier").alias("_tier")).agg(F.count("*").alias("_n"))
+    before = W.partitionBy("_tier").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    counts = settle(counts.select("_task", "_tier", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    a_step = F.greatest(F.lit(1), F.floor(F.lit(STEP_TOKENS) / F.col("tier")))
+    step = F.shiftleft(F.col("tier").cast("long"), 40) + F.floor((F.col("_before") + F.col("step_group")) / a_step)
+    return packed.join(counts, (task == F.col("_task")) & (F.col("tier") == F.col("_tier"))).select(
+        *[step.cast("long").alias(c) if c == "step_group" else packed[c] for c in packed.columns]
+    )
 
 
 def default_tokenizer() -> str:

@@ -3,13 +3,16 @@
 The tokenizer drops white space and never joins across it, so a text's ids are those of its words in a row. Words
 recur: bounded caches hold ids. A text that is plain (ASCII and Latin-1 letters, digits and marks, no apostrophes,
 no `<` and `>`) is cut into its runs of letters, digits and marks, as the tokenizer does, and these go to its model;
-of other texts the plain words do, and any other word goes to the library whole.
+of other texts the plain words do, and any other word goes to the library whole. All this holds for tokenizers with
+the normalizer, pre-tokenizer and model kind stated in RULES; with any other file, whole texts go to the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 
@@ -19,6 +22,17 @@ LONGEST_KEPT = 64
 #: Long texts are cut into parts of about so many characters, at white space.
 PART_CHARS = 1 << 20
 
+#: What a tokenizer file must say for texts to be cut here as the library cuts them (fixed values).
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _MARKS = r"!\"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~"
 _ODD = re.compile(rf"[^{_LETTERS}0-9{_MARKS} \t\n\r\x0b\x0c]")
@@ -64,6 +78,8 @@ class Words:
         self.model = self.whole.model
         if self.whole.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
+        said = json.loads(Path(path).read_text(encoding="utf-8"))
+        self.known = all(said.get(k) == v for k, v in RULES.items()) and said["model"].get("type") == "BPE"
         self.letters = _byte_letters()
         self.words, self.runs = _Cache(self._word), _Cache(self._run)
 
@@ -78,6 +94,8 @@ class Words:
         return self._whole(word) if _ODD.search(word) else self.runs.join(_RUNS.findall(word.lower()))
 
     def ids(self, text: str) -> bytes:
+        if not self.known:
+            return self._whole(text)
         return b"".join(map(self._part, parts(text)))
 
     def _part(self, text: str) -> bytes:

@@ -1,12 +1,15 @@
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from quarryline.llm.pack import TIERS, default_tokenizer, op3_pack, pack, pack_rest, pack_window
-from quarryline.llm.tokens import PART_CHARS, parts, words_of
+from quarryline.llm.pack import STEP_TOKENS, TIERS, default_tokenizer, op3_pack, pack, pack_rest, pack_window
+from quarryline.llm.tokens import PART_CHARS, Words, parts, words_of
 
 
 @pytest.fixture(scope="module")
@@ -95,6 +98,27 @@ def test_query_is_an_exact_round_trip(spark, sf_dir, tokenizer):
     assert max(steps.values()) <= 1 << 17
 
 
+def test_step_groups_are_full_over_all_tasks(spark, sf_dir):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7)
+    rows = pack(docs, default_tokenizer()).groupBy("tier", "step_group").agg({"length": "sum"}).collect()
+    short = {}
+    for tier, group, n in rows:
+        assert n <= STEP_TOKENS
+        short.setdefault(tier, []).extend([group] if n < STEP_TOKENS else [])
+    assert all(len(own) <= 1 and own == [max(g for t, g, _ in rows if t == tier)][: len(own)] for tier, own in short.items())
+    assert sum(n == STEP_TOKENS for *_, n in rows) >= 3
+
+
+def test_other_tokenizers_go_to_the_library_whole(tmp_path, tokenizer):
+    said = json.loads(Path(default_tokenizer()).read_text())
+    said["normalizer"] = None  # no lower-casing
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    text = "Some TEXT  with\tCapitals, isn't it? " * 3
+    whole = Tokenizer.from_file(str(tmp_path / "other.json")).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(Words(str(tmp_path / "other.json")).ids(text), "<u2").tolist() == whole
+    assert Words(default_tokenizer()).known and whole != ids_of(tokenizer, text)
+
+
 def test_edge_rows(spark, tokenizer):
     long = "Wort für Wort, " * 100_000
     rows = [(None, None, 1), (1, "", 2), (2, long, 3), (3, "a b", 4), (4, "a b", 5)]
