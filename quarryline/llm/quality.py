@@ -1,14 +1,14 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of PASSAGE words (runs of other bytes than \\x20 and \\x09-\\x0D); all of its text is
-used. A passage is encoded by the square root of how often each pair of byte classes stands in it, how often a word repeats the one
-before it, its share of distinct words and its word length; a learned layer maps that to a hidden vector h. Gated
+used. A passage is encoded by the square roots of how often each pair of byte classes and each of WORDS groups of words (by
+hash) stands in it, how often a word repeats the one before it, its share of distinct words and its word length; a learned layer maps that to a hidden vector h. Gated
 attention weighs the passages, a ~ softmax(w . (tanh(V h) * sigmoid(U h))), and the score is a logistic function
 of their weighted mean. All weights are learned together from document labels alone, by Adam on the driver.
 
 Training takes the TRAIN_DOCS labelled documents that come first by a hash of doc_id among those whose
-crc32(doc_id as text) mod 5 is not 0, and of each at most TRAIN_PASSAGES passages, evenly spread; both bound what
-reaches the driver. Scores use every passage. Labels, lang, source and doc_id are no inputs.
+crc32(doc_id as text) mod 5 is not 0, with all their passages; that bounds what reaches the driver. Scores use
+every passage. Labels, lang, source and doc_id are no inputs.
 
 Labels other than 0 and 1 are left out; of a doc_id with several labels the mean decides, of one with several
 texts the largest is used. Without any label all scores are 0.5. A null or empty text is a bag of one empty
@@ -31,7 +31,6 @@ from .common import col, read_table, small_batches
 
 PASSAGE = 64
 TRAIN_DOCS = 4000
-TRAIN_PASSAGES = 32
 THRESHOLD = 0.3
 HIDDEN, GATE = 24, 12
 EPOCHS, BAGS, RATE, DECAY = 12, 64, 0.01, 1e-4
@@ -45,7 +44,10 @@ _CLASS = np.full(256, OTHER, np.uint8)
 for _i, _chars in enumerate(_CLASSES):
     _CLASS[np.frombuffer(_chars.encode(), np.uint8)] = _i
 _IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-FEATURES = KINDS * KINDS + 4
+#: Groups of words, a power of two.
+WORDS = 128
+FEATURES = KINDS * KINDS + WORDS + 4
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(63, 0x100000001B3, np.uint64)])
 
 
@@ -84,8 +86,10 @@ def _encode(raw: np.ndarray, space: np.ndarray, starts: np.ndarray) -> np.ndarra
     first = np.r_[True, (hashes[order][1:] != hashes[order][:-1]) | (of_word[order][1:] != of_word[order][:-1])]
     distinct = np.bincount(of_word[order], first, n)
     letters = np.bincount(of_byte, ~space, n)
+    group = (hashes * _SPREAD >> np.uint64(64 - WORDS.bit_length() + 1)).astype(np.int64)
+    held = np.bincount(of_word * WORDS + group, minlength=n * WORDS).reshape(n, -1)
     tail = np.stack([repeats / words, distinct / words, letters / words / 10, np.log1p(words) / 5], axis=1)
-    return np.concatenate([np.sqrt(table / lengths[:, None]), tail], axis=1)
+    return np.concatenate([np.sqrt(table / lengths[:, None]), np.sqrt(held / words[:, None]), tail], axis=1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -137,11 +141,12 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Attention
         return None
     rng = np.random.default_rng(seed)
     rows = np.concatenate(bags)
-    sd = rows.std(0)
+    sd, mean = rows.std(0, dtype=float), rows.mean(0, dtype=float)
+    del rows
     shape = {"W": (FEATURES, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,), "d": (1,)}
     p = {k: np.zeros(v) if k in ("b", "d") else rng.normal(0, 1 / np.sqrt(v[0]), v) for k, v in shape.items()}
-    model = Attention(rows.mean(0), sd + 0.02, p)
-    bags = [(x - model.mean) / model.scale for x in bags]
+    model = Attention(mean, sd + 0.02, p)
+    bags = [((x - model.mean) / model.scale).astype(x.dtype) for x in bags]
     m1, m2, step = {k: 0.0 for k in p}, {k: 0.0 for k in p}, 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(bags))
@@ -165,10 +170,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for text in batch.column("text").cast(pa.binary()):
-            x = passages(text.as_py() or b"")
-            if len(x) > TRAIN_PASSAGES:
-                x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
-            rows.append(x.astype(np.float32).tobytes())
+            rows.append(passages(text.as_py() or b"").astype(np.float16).tobytes())
         arrays = [batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "label", "features"])
 
@@ -189,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
     small_batches(docs.sparkSession)
     rows = texts.mapInArrow(_sampled, "doc_id long, label double, features binary").collect()
     rows.sort(key=lambda r: r.doc_id)
-    bags = [np.frombuffer(r.features, np.float32).reshape(-1, FEATURES).astype(float) for r in rows]
+    bags = [np.frombuffer(r.features, np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
     return fit(bags, np.array([r.label for r in rows]))
 
 

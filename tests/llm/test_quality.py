@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -42,6 +44,45 @@ def test_gradients_are_those_of_the_loss():
             assert abs((up - down) / (2 * step) - got[k][at]) < 1e-5
 
 
+def test_scores_equal_a_plain_model():
+    """Passages, attention and score by loops over words and numbers."""
+    text = "One two two three, four! 5 six seven.\nEight nine ten " * 9
+    words = text.split()
+    rng = np.random.default_rng(2)
+    model = Q.fit([np.abs(rng.normal(size=(3, Q.FEATURES))) for _ in range(6)], np.array([0.0, 1.0] * 3))
+    x = Q.passages(text.encode())
+    assert len(x) == math.ceil(len(words) / Q.PASSAGE)
+    for k in range(len(x)):
+        own = words[k * Q.PASSAGE : (k + 1) * Q.PASSAGE]
+        repeats = sum(a == b for a, b in zip(own, own[1:]))
+        assert np.allclose(x[k, -4:], [repeats / len(own), len(set(own)) / len(own), sum(map(len, own)) / len(own) / 10, math.log1p(len(own)) / 5])
+        in_groups = x[k, Q.KINDS**2 : -4] ** 2 * len(own)  # words by group: whole numbers that add up, alike for alike words
+        assert np.allclose(in_groups, np.rint(in_groups)) and round(in_groups.sum()) == len(own)
+        assert max(in_groups) >= max(Counter(own).values()) - 1e-6
+        assert abs((x[k, : Q.KINDS**2] ** 2).sum() - 1) < 0.02  # all pairs of bytes, but for the passage's last
+    p = {k: v.tolist() for k, v in model.p.items()}
+    hidden, gates = [], []
+    for row in ((x - model.mean) / model.scale).tolist():
+        h = [math.tanh(sum(a * w[j] for a, w in zip(row, p["W"])) + p["b"][j]) for j in range(Q.HIDDEN)]
+        t = [math.tanh(sum(a * v[j] for a, v in zip(h, p["V"]))) for j in range(Q.GATE)]
+        s = [1 / (1 + math.exp(-sum(a * u[j] for a, u in zip(h, p["U"])))) for j in range(Q.GATE)]
+        hidden.append(h)
+        gates.append(math.exp(sum(a * b * w for a, b, w in zip(t, s, p["w"]))))
+    mean = [sum(g * h[j] for g, h in zip(gates, hidden)) / sum(gates) for j in range(Q.HIDDEN)]
+    want = 1 / (1 + math.exp(-sum(a * c for a, c in zip(mean, p["c"])) - p["d"][0]))
+    assert abs(model.score(x) - want) < 1e-9
+
+
+def test_held_out_ranking(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in Q.op8_quality(spark, sf_dir).where("held_out").collect() if r.doc_id in labels]
+    good, bad = ([r.score for r in rows if labels[r.doc_id] == q] for q in (1, 0))
+    wins = sum(a > b for a in good for b in bad) / len(good) / len(bad)
+    assert len(rows) > 500 and wins > 0.999
+    assert sum(a >= Q.THRESHOLD for a in good) / len(good) > 0.995 and sum(b < Q.THRESHOLD for b in bad) / len(bad) > 0.95
+
+
 def test_passages_cover_whole_texts(monkeypatch):
     text = b" ".join(b"word%d" % i for i in range(1000)) + b"\n"
     whole = Q.passages(text)
