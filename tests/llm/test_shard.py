@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter
 
@@ -23,6 +24,34 @@ def test_query(spark, sf_dir):
     assert {(r.doc_id, r.shard, r.grown_shard) for r in op5_shard(spark, sf_dir).collect()} == {(r.doc_id, r.shard, r.grown_shard) for r in rows}
 
 
+def test_placement_equals_a_plain_descent(spark):
+    """Every row by a walk from the root: the smallest of -ln(u) / weight, u from the hash of the child's name and the key."""
+    tree = balanced_tree(extra=1)
+    names = []
+
+    def collect(node):
+        for c in node.children:
+            names.append(c.name)
+            collect(c)
+
+    collect(tree)
+    hashed = spark.range(500).select("id", *[F.xxhash64(F.lit(n), F.col("id")).alias(str(i)) for i, n in enumerate(names)]).collect()
+    got = {r.doc_id: r.shard for r in place(spark.range(500).withColumnRenamed("id", "doc_id"), tree).collect()}
+
+    def weight(node):
+        return sum(map(weight, node.children)) if node.children else node.own_weight
+
+    for r in hashed:
+        node = tree
+        while node.children:
+            draws = []
+            for c in node.children:
+                h = r[str(names.index(c.name))] % (1 << 64)
+                draws.append((-math.log(((h >> 12) + 1) / (1 << 52)) / weight(c), c.name, c))
+            node = min(draws, key=lambda d: d[0])[2]
+        assert got[r.id] == node.shard
+
+
 def shards_of(spark, tree, n=8000):
     return [r.shard for r in place(spark.range(n).withColumnRenamed("id", "doc_id"), tree).orderBy("doc_id").collect()]
 
