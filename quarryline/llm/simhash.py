@@ -13,6 +13,12 @@ plain bound R + t = 3 would find the same pairs from 652 copies. Equal fingerpri
 number of fingerprints near an anchor is at most 2 * (1 + 63 + 1953) however many documents are alike, and
 no task collects an unbounded group. Per anchor only a spanning forest of the links leaves the task.
 
+keep_one_of_each_group(), the stage of a corpus pipeline, is for near-copies: texts whose sets of NEAR_SHINGLE-word shingles
+have a Jaccard similarity of SIMILARITY or more. Few of these differ in 2 bits of a fingerprint of shingles, so it takes
+PRINTS fingerprints of each text, of its words by their number (an edit changes one word, but several shingles), each
+with another hash; the anchors find those within MAX_DISTANCE bits in any of them, and only pairs whose similarity holds
+on the whole texts are linked. Texts that are equal are one from the start.
+
 Nulls: a null text is an empty one; a row with a null doc_id gets the fingerprint and component of its text,
 but never names a component. Repeated rows all stay. Other columns of the input are ignored.
 """
@@ -20,6 +26,7 @@ but never names a component. Repeated rows all stay. Other columns of the input
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, read_table, settle, small_batches
+from .common import col, fresh, read_table, row_ids, settle, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -37,6 +44,7 @@ SHINGLE = 3
 MAX_DISTANCE = 2
 CODE_BITS = 63
 LOW = np.uint64((1 << CODE_BITS) - 1)
+NEAR_SHINGLE, SIMILARITY, PRINTS = 5, 0.8, 6
 #: Bytes of a text whose words are held at once: bounds the memory that a very long text takes.
 SLICE = 1 << 19
 _SPACE = re.compile(rb"[\t-\r ]")
@@ -84,10 +92,50 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-@F.arrow_udf(T.LongType())
-def _fingerprint_udf(text: pa.Array) -> pa.Array:
-    values = [fingerprint(x.as_py() or b"") for x in text.cast(pa.binary())]
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def word_prints(text: bytes) -> np.ndarray:
+    """PRINTS fingerprints of a text's words by their number, zero without words."""
+    counts: Counter = Counter()
+    for part in slices(text):
+        counts.update(part.lower().split())
+    if not counts:
+        return np.zeros(PRINTS, np.uint64)
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in counts], np.uint64)
+    n, out = np.array(list(counts.values()), np.int64), np.zeros(PRINTS, np.uint64)
+    for k in range(PRINTS):  # another hash of each word out of the first one
+        h = (hashes ^ np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[k] = sum(1 << i for i in np.flatnonzero((n @ bits) * 2 > n.sum()).tolist())
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _word_prints(text: pa.Array) -> pa.Array:
+    return pa.array([word_prints(x.as_py() or b"").view(np.int64) for x in text.cast(pa.binary())], pa.list_(pa.int64()))
+
+
+def near_shingles(text: bytes) -> set[int]:
+    """The hashes of a text's NEAR_SHINGLE-word shingles; of fewer words, of the whole sequence."""
+    words = text.lower().split()
+    parts = [words[i : i + NEAR_SHINGLE] for i in range(max(1, len(words) - NEAR_SHINGLE + 1))] if words else []
+    return {xxhash.xxh64_intdigest(b" ".join(x)) for x in parts}
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the pairs whose texts are similar enough; a text that comes again and again is cut into shingles once."""
+    last, left = None, set()
+    for batch in batches:
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        texts = (batch.column(c).cast(pa.binary()) for c in ("text_a", "text_b"))
+        keep = []
+        for i, (node, x, y) in enumerate(zip(a, *texts, strict=True)):
+            if node != last:
+                last, left = node, near_shingles(x.as_py() or b"")
+            right = near_shingles(y.as_py() or b"")
+            if len(left & right) >= SIMILARITY * len(left | right):
+                keep.append(i)
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b)], ["a", "b"])
 
 
 def _flips() -> list[np.ndarray]:
@@ -195,25 +243,40 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def near_links(texts: DataFrame) -> DataFrame:
+    """(a, b): links between nodes of texts (node long, text, prints), found by anchors and verified on whole texts."""
+    prints = settle(texts.select("node", F.explode("prints").alias("fp")).distinct())
+    firsts = settle(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    ends = [firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("a", "b")]
+    between = links(firsts).join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    alike = prints.join(firsts, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    found = between.unionByName(alike).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = settle(found)
+    text = F.col("text")
+    pairs = found.join(texts.select(F.col("node").alias("b"), text.alias("text_b")).hint("merge"), "b")
+    pairs = pairs.join(texts.select(F.col("node").alias("a"), text.alias("text_a")).hint("merge"), "a")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long")
+
+
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text and any others) that stay, one of each component: that of its smallest doc_id.
+    """The rows of docs (doc_id, text and any others) that stay, one of each group of near-copies.
 
-    Of repeated rows of that doc_id one stays; of a component without any doc_id, one row.
+    It is that of the smallest doc_id (null last); of rows that have it and are alike, one.
     """
-    found = settle(simhash_components(docs))
-    kept = settle(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")))
+    small_batches(docs.sparkSession)
+    rid, text, prints, one, two = (fresh(docs, x) for x in ("rid", "whole", "prints", "hash_a", "hash_b"))
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = row_ids(docs.withColumns({prints: _word_prints(whole), one: F.xxhash64(whole), two: F.xxhash64(F.lit(1), whole)}), rid)
+    light = rows.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("id"), F.col(one).alias("one"), F.col(two).alias("two"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "rid")
+    best = settle(light.groupBy("one", "two").agg(F.min(order).alias("best")).select("best.*"))  # a row for each text
+    texts = rows.withColumn(text, whole).select(F.col(rid).alias("node"), F.col(text).alias("text"), F.col(prints).alias("prints"))
+    texts = texts.join(best.select(F.col("rid").alias("node")).hint("merge"), "node", "left_semi")
+    parts = settle(connected_components(near_links(settle(texts))))
+    grouped = best.join(parts.select(F.col("node").alias("rid"), "component"), "rid", "left")
+    kept = grouped.groupBy(F.coalesce("component", "rid").alias("part")).agg(F.min(F.struct("last", "id", "rid")).alias("b"))
     # what is kept grows with the input, so it is never broadcast
-    out = docs.join(kept.where("n = 1").hint("merge"), "doc_id", "left_semi")
-    repeated = kept.where("n > 1")
-    if not repeated.isEmpty():
-        out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    if not found.where("component_id is null").isEmpty():
-        of = settle(found.where("component_id is null").groupBy("component").agg(F.min("fp").alias("fp")))
-        hidden = fresh(docs, "fp")
-        unnamed = docs.where("doc_id is null").withColumn(hidden, _fingerprint_udf(F.col("text").cast("string")))
-        alone = unnamed.join(of.select(F.col("fp").alias(hidden)), hidden, "left_semi")
-        out = out.unionByName(alone.dropDuplicates([hidden]).select(*map(col, docs.columns)))
-    return out.select(*map(col, docs.columns))
+    return rows.join(kept.select(F.col("b.rid").alias(rid)).hint("merge"), rid, "left_semi").select(*map(col, docs.columns))
 
 
 QUERIES = {"op9_simhash": op9_simhash}

@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +10,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from quarryline.llm import simhash
+from quarryline.llm import simhash as S
 from quarryline.llm.components import connected_components
 from quarryline.llm.simhash import anchors_of, fingerprint, keep_one_of_each_group, op9_simhash, simhash_components
 
@@ -129,6 +132,66 @@ def test_large_groups_of_copies_and_near_copies(spark):
     assert all(got[1000 + i] == want[1000 + i % 7] for i in range(200))
 
 
+def shingles(text, n=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def near_groups(texts):
+    """{id: smallest id of its group} by the similarity of all pairs of texts {id: text}."""
+    ids = sorted(texts)
+    sets, part = {i: shingles(texts[i]) for i in ids}, {i: i for i in ids}
+
+    def top(i):
+        return i if part[i] == i else top(part[i])
+
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            a, b = sets[i], sets[j]
+            if len(a & b) >= 0.8 * len(a | b):
+                a, b = sorted((top(i), top(j)))
+                part[b] = a
+    return {i: top(i) for i in ids}
+
+
+def test_word_prints_equal_a_plain_model():
+    text = "One two TWO three two " * 50
+    counts = Counter(text.lower().split())
+    for k, got in enumerate(S.word_prints(text.encode()).tolist()):
+        sums = [0] * 64
+        for w, n in counts.items():
+            h = (xxhash.xxh64_intdigest(w, 42) ^ (k * 0x632BE59BD9B4E019) % 2**64) * 0x9E3779B97F4A7C15 % 2**64
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+            h ^= h >> 32
+            for i in range(64):
+                sums[i] += n * (h >> i & 1)
+        assert got == sum(1 << i for i in range(64) if sums[i] * 2 > counts.total())
+
+
+def test_stage_finds_near_copies_and_leaves_the_rest(spark):
+    rng, words = random.Random(4), [f"w{i}" for i in range(3000)]
+    rows, edits = [], []
+    for i in range(400):
+        text = [rng.choice(words) if rng.random() < 0.5 else rng.choice(words[:40]) for _ in range(rng.randint(60, 400))]
+        copy = list(text)
+        for _ in range(max(1, round(len(text) * rng.uniform(0.004, 0.02)))):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(copy))]
+    rows += [(5000 + i, rows[0][1]) for i in range(300)]  # copies of one text
+    hot = rows[2][1].split()
+    for i in range(300):  # near copies of another
+        copy = list(hot)
+        copy[rng.randrange(len(copy))] = f"e{i}"
+        rows.append((6000 + i, " ".join(copy)))
+    sets = {i: shingles(t) for i, t in rows}
+    near = {i for i in range(0, 800, 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    kept = {r.doc_id for r in keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i in range(800) if i % 2 == 0} <= kept and {i + 1 for i in range(0, 800, 2) if i not in near} <= kept
+    found = sum(i + 1 not in kept for i in near)
+    assert len(near) > 250 and found >= 0.9 * len(near)
+    assert not any(5000 <= i < 6000 for i in kept) and sum(i >= 6000 for i in kept) <= 15
+
+
 @pytest.mark.parametrize("columns", [("doc_id", "text", "lang", "source", "n_chars")])
 def test_stage_keeps_columns(spark, sf_dir, columns):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
