@@ -48,6 +48,16 @@ def composite_article(name: Column, category: Column, description: Column, price
     return F.concat_ws("-", code3(F.coalesce(category, F.lit("GEN"))), code3(brand(seen)), tail)
 
 
+def article(strategy: str, name: Column, category: Column, description: Column, characteristics: Column, price: Column) -> Column:
+    """An article number by a strategy's name: hash, composite or, by any other name, the hash.
+
+    Sequential numbers need all rows: operators/filters.sequential_article.
+    """
+    if strategy == "sequential":
+        raise ValueError("sequential articles are made by filters.sequential_article")
+    return composite_article(name, category, description, price) if strategy == "composite" else hash_article(name, category, characteristics)
+
+
 def product_key(name: Column, sku: Column, url: Column) -> Column:
     """A printable key; joins use name, sku and url themselves."""
     digits = F.lpad((F.crc32(F.encode(F.coalesce(url, F.lit("")), "UTF-8")) % 10000).cast("string"), 4, "0")

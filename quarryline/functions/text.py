@@ -46,10 +46,10 @@ def sentences(text: Column) -> Column:
 
 def readability(text: Column) -> Column:
     """1 at ten words a sentence, 0.05 less for each further word, 0 at least; 0 without sentences."""
-    found = sentences(text)
-    count = F.aggregate(found, F.lit(0), lambda n, s: n + F.size(F.split(s, " ")))
-    mean = F.try_divide(count.cast("double"), F.size(found).cast("double"))
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - (mean - 10) / 20), F.lit(0.0))
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+    add = lambda a, s: F.struct((a["words"] + F.size(F.split(s, " "))).alias("words"), (a["n"] + 1).alias("n"))
+    score = lambda a: F.greatest(F.lit(0.0), 1 - (F.try_divide(a["words"].cast("double"), a["n"].cast("double")) - 10) / 20)
+    return F.coalesce(F.aggregate(sentences(text), start, add, score), F.lit(0.0))
 
 
 def length_ratio(original: Column, rewritten: Column) -> Column:

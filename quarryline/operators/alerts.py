@@ -23,16 +23,29 @@ def _alert(df: DataFrame, group: str, kind: str, level: str, message, details: d
     )
 
 
+def product_alerts(compared: DataFrame) -> DataFrame:
+    """Price and availability alerts in one pass: a product has one status, so one alert at most."""
+    s, text = F.col("status"), lambda c: F.col(c).cast("string")
+
+    def one(group: str, kind: str, level: str, message, details: dict):
+        pairs = [x for k, v in details.items() for x in (F.lit(k), v)]
+        return F.struct(F.lit(group).alias("alert_group"), F.lit(kind).alias("type"), F.lit(level).alias("level"), F.col("name").alias("product"), message.alias("message"), F.create_map(*pairs).alias("details"))
+
+    price = {c: text(c) for c in ("old_price", "new_price", "change_percent", "direction")}
+    found = (
+        F.when((s == "changed") & F.col("significant"), one("price", "PRICE_CHANGE", "CRITICAL", F.format_string(PRICE, "change_percent"), price))
+        .when(s == "new", one("availability", "NEW_PRODUCT", "WARNING", F.lit(NEW), {"price": text("new_price")}))
+        .when(s == "discontinued", one("availability", "DISCONTINUED_PRODUCT", "WARNING", F.lit(GONE), {"last_price": text("old_price")}))
+    )
+    return compared.select(found.alias("a")).where("a is not null").select("a.*")
+
+
 def price_alerts(compared: DataFrame) -> DataFrame:
-    rows = compared.where("status = 'changed' and significant")
-    details = {c: F.col(c) for c in ("old_price", "new_price", "change_percent", "direction")}
-    return _alert(rows, "price", "PRICE_CHANGE", "CRITICAL", F.format_string(PRICE, "change_percent"), details)
+    return product_alerts(compared.where("status = 'changed'"))
 
 
 def availability_alerts(compared: DataFrame) -> DataFrame:
-    new = _alert(compared.where("status = 'new'"), "availability", "NEW_PRODUCT", "WARNING", F.lit(NEW), {"price": F.col("new_price")})
-    gone = _alert(compared.where("status = 'discontinued'"), "availability", "DISCONTINUED_PRODUCT", "WARNING", F.lit(GONE), {"last_price": F.col("old_price")})
-    return new.unionByName(gone)
+    return product_alerts(compared.where("status in ('new', 'discontinued')"))
 
 
 def trend_alerts(summary: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -51,7 +64,7 @@ def quality_alerts(metrics: DataFrame, settings: Settings = DEFAULTS) -> DataFra
 
 
 def all_alerts(compared: DataFrame, summary: DataFrame, metrics: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    parts = [price_alerts(compared), availability_alerts(compared), trend_alerts(summary, settings), quality_alerts(metrics, settings)]
+    parts = [product_alerts(compared), trend_alerts(summary, settings), quality_alerts(metrics, settings)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -70,11 +83,14 @@ def recommendations(alerts: DataFrame) -> DataFrame:
     return counts.select(F.posexplode(found).alias("position", "advice"))
 
 
-def send(alerts: DataFrame, method: str = "log", limit: int = 1000) -> bool:
-    """Deliver at most `limit` alerts, critical ones first, to the log or the console; e-mail is not offered."""
+def send(alerts: DataFrame, method: str = "log") -> bool:
+    """Deliver all alerts, critical ones first, to the log or the console; e-mail is not offered.
+
+    They come to the driver one partition at a time, so it never holds them all.
+    """
     if method not in ("log", "console"):
         return False
     say = logging.getLogger("quarryline.alerts").warning if method == "log" else print
-    for r in alerts.orderBy("level", "type", "product").limit(limit).collect():
+    for r in alerts.orderBy("level", "type", "product").toLocalIterator():
         say(f"{r.level}: {r.message}")
     return True

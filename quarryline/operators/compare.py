@@ -50,14 +50,21 @@ def map_changes(new: Column, old: Column) -> Column:
     return F.array_sort(F.transform(differ, lambda e: F.struct(e["key"].alias("key"), e["value"]["old"].alias("old"), e["value"]["new"].alias("new"))))
 
 
-def compare(current: DataFrame, previous: DataFrame, key: Sequence[str] = KEY, settings: Settings = DEFAULTS) -> DataFrame:
+def one_a_key(rows: DataFrame, key: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """rows with null keys as empty text, of each key the last row by order (then price and status, so that it is always the same)."""
+    filled = rows.withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in key})
+    return last_wins(filled, key, [*order, *[c for c in ("price", "status") if c in rows.columns and c not in order]])
+
+
+def compare(current: DataFrame, previous: DataFrame, key: Sequence[str] = KEY, settings: Settings = DEFAULTS, order: Sequence[str] = ()) -> DataFrame:
     """One row a product of either snapshot, with a status: changed, unchanged, new or discontinued.
 
-    Snapshots hold key, price, status, images and characteristics. One full outer join serves matches and both anti
-    joins; keys are compared null-safely as empty text.
+    Snapshots hold key, price, status, images and characteristics. Of rows that repeat a key the last by `order` counts
+    (one_a_key); null parts of a key are empty text. One full outer join serves matches and both anti joins; it finds
+    both sides dealt by the key already, so it shuffles nothing anew.
     """
-    c, p = current.alias("c"), previous.alias("p")
-    same = [F.coalesce(F.col(f"c.{k}"), F.lit("")) == F.coalesce(F.col(f"p.{k}"), F.lit("")) for k in key]
+    c, p = one_a_key(current, key, order), one_a_key(previous, key, order)
+    same = [F.col(f"c.{k}") == F.col(f"p.{k}") for k in key]
     j = c.withColumn("_in", F.lit(True)).alias("c").join(p.withColumn("_in", F.lit(True)).alias("p"), same, "full_outer")
     new, old = F.col("c.price"), F.col("p.price")
     price = price_change(new, old, settings)

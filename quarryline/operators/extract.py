@@ -31,6 +31,7 @@ CANDIDATES = {
     "sku": ("span[class*=sku]", "meta[itemprop=sku]", ".product-sku", "[data-product-id]"),
 }
 CURRENCY = re.compile(r"[\d\s.,]+₽|руб|€|\$")
+#: Selectors of listings, paths, menus and next links (fixed values).
 LISTING = (".product", ".item", ".goods", ".product-item", "[class*=product]", "[class*=item]", ".card")
 CRUMBS = (".breadcrumbs", ".breadcrumb", "[class*=breadcrumb]")
 NAV = ("nav ul li a", ".navigation a", ".menu a", ".categories a", ".nav-menu a", "[class*=nav] a", "[class*=menu] a", "[class*=category] a")
@@ -227,6 +228,19 @@ def next_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, next_url string")
 
 
+def category_scan(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The products of paginated listings: of each category (an address without its page number) the first pages_per_category
+    pages by number, each address once (the smallest page_id), with the products in order of page and place."""
+    number = urls.page_number(F.col("url"))
+    category = F.regexp_replace("url", "(?i)[?&/]?page[=/]?\\d+/?$", "")
+    numbered = pages.select("page_id", "url", "html", category.alias("category_url"), number.alias("page_number"))
+    once = numbered.groupBy("category_url", "page_number").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p"))
+    rank = F.row_number().over(W.partitionBy("category_url").orderBy("page_number"))
+    first = once.withColumn("_rn", rank).where(F.col("_rn") <= settings.pages_per_category).select("category_url", "page_number", "p.*")
+    found = listing_products(first.select("page_id", "url", "html"), settings)
+    return first.select("category_url", "page_number", "page_id").join(found, "page_id")
+
+
 def nav_links(pages: DataFrame) -> DataFrame:
     """(page_id, position, name, href, url) of the links within nav elements, by regular expressions alone."""
     navs = F.array_join(F.regexp_extract_all("html", F.lit("(?s)<nav[^>]*>(.*?)</nav>"), F.lit(1)), "")

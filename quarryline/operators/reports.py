@@ -87,6 +87,16 @@ def column_widths(sheet: DataFrame, most: int = 50) -> DataFrame:
     return longest.select(F.explode(F.array(*wide)).alias("x")).select("x.*")
 
 
+def work_stats(products: DataFrame) -> DataFrame:
+    """What there is to number and to fetch: products, those with and without an article, with images, and the images."""
+    a, n = F.nullif(F.col("article"), F.lit("")), F.coalesce(F.size("images"), F.lit(0))
+    n = F.greatest(n, F.lit(0))
+    return products.agg(
+        F.count("*").alias("total"), F.count(a).alias("with_article"), (F.count("*") - F.count(a)).alias("without_article"),
+        F.count_if(n > 0).alias("with_images"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("images"),
+    )
+
+
 def error_stats(errors: DataFrame) -> DataFrame:
     """(error_type, n, recovered, recovery_rate) of an error log (error_type, can_recover)."""
     ok = F.count_if("can_recover")

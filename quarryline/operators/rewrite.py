@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +27,7 @@ SYNONYMS = {
     "популярный": ["востребованный", "распространенный", "известный"], "уникальный": ["эксклюзивный", "неповторимый", "особенный"],
     "надежный": ["доверительный", "стабильный", "прочный"], "удобный": ["комфортный", "эргономичный", "практичный"],
 }
+#: Words that are never replaced, and words that open a sentence (fixed values).
 TERMS = (
     "мм", "см", "м", "км", "г", "кг", "л", "мл", "Вт", "кВт", "Гц", "кГц", "МГц", "В", "А", "Ом", "°C", "°F",
     "диаметр", "длина", "ширина", "высота", "глубина", "толщина", "объем", "вес", "мощность", "напряжение", "ток", "сопротивление",
@@ -65,6 +67,28 @@ def lookup_synonyms(words: DataFrame, table: DataFrame) -> DataFrame:
     return out.select(*words.columns, F.when(F.size("synonyms") > 0, F.get("synonyms", pick)).alias("synonym"))
 
 
+def is_technical(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """words (id, pos, word) with a boolean `technical`: whether the dictionary `terms` (term) has it, case ignored."""
+    known = terms.select(F.lower("term").alias("_term")).distinct().withColumn("_known", F.lit(True))
+    out = words.join(known, F.lower("word") == F.col("_term"), "left")  # broadcast by its size, if it is small
+    return out.select(*words.columns, F.coalesce("_known", F.lit(False)).alias("technical"))
+
+
+def without_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """The words that the dictionary of preserved terms lacks (an anti join)."""
+    return words.join(terms.select(F.lower("term").alias("_term")).distinct(), F.lower("word") == F.col("_term"), "left_anti")
+
+
+def in_context(words: DataFrame, width: int = 2) -> DataFrame:
+    """words (id, pos, word) with arrays `before` and `after`: up to `width` neighbours on either side, in order.
+
+    A window over a text's own words, in place of a join of positions.
+    """
+    w = W.partitionBy("id").orderBy("pos")
+    around = lambda a, b: F.collect_list("word").over(w.rowsBetween(a, b))
+    return words.withColumns({"before": around(-width, -1), "after": around(1, width)})
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """The Ratcliff-Obershelp ratio of two texts."""
@@ -144,12 +168,26 @@ def change_stats(original: Column, rewritten: Column) -> dict[str, Column]:
     }
 
 
+def repeats(text: Column, limit: int = 3) -> Column:
+    """struct(most, problems): how often a text's commonest lower-case word of over two characters stands in it, and how
+    many words stand over `limit` times. Its words in order, in runs: no word leaves its row."""
+    ordered = F.array_sort(F.filter(X.words(text), lambda w: F.length(w) > 2))
+    none = F.lit(0).cast("long")
+    start = F.struct(F.lit("").alias("last"), none.alias("run"), none.alias("most"), none.alias("problems"))
+
+    def step(acc: Column, w: Column) -> Column:
+        run = F.when(acc["last"] == w, acc["run"] + 1).otherwise(F.lit(1).cast("long"))
+        over = F.when(run == limit + 1, acc["problems"] + 1).otherwise(acc["problems"])
+        return F.struct(w.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most"), over.alias("problems"))
+
+    done = F.aggregate(F.coalesce(ordered, F.array().cast("array<string>")), start, step)
+    return F.struct(done["most"].alias("most"), done["problems"].alias("problems"))
+
+
 def repetition(rows: DataFrame, text: str = "text", key: str = "id", limit: int = 3) -> DataFrame:
-    """(key, max_repetition, problem_words): counts of lower-case words of over two characters, by two sums."""
-    words = rows.select(key, F.explode(X.words(F.col(text))).alias("word")).where(F.length("word") > 2)
-    per = words.groupBy(key, "word").agg(F.count("*").alias("n"))
-    per = per.groupBy(key).agg(F.max("n").alias("max_repetition"), F.count_if(F.col("n") > limit).alias("problem_words"))
-    return rows.select(key).join(per, key, "left").na.fill(0, ["max_repetition", "problem_words"])
+    """(key, max_repetition, problem_words) of each row."""
+    found = rows.select(key, repeats(F.col(text), limit).alias("r"))
+    return found.select(key, F.col("r.most").alias("max_repetition"), F.col("r.problems").alias("problem_words"))
 
 
 #: Advice on a rewriting (fixed values).
@@ -170,8 +208,8 @@ def recommendation(ratio: Column, sim: Column, repeats: Column, readable: Column
 
 def check_rewriting(rows: DataFrame, key: str = "id", least: float = 0.8) -> DataFrame:
     """rows (key, text, rewritten) with the five checks, the overall score, is_valid and advice."""
-    repeats = repetition(rows, "rewritten", key)
-    out = rows.join(repeats, key).withColumn("ratio", X.length_ratio(F.col("text"), F.col("rewritten")))
+    out = rows.withColumn("_r", repeats(F.col("rewritten"))).withColumns({"max_repetition": F.col("_r.most"), "problem_words": F.col("_r.problems")}).drop("_r")
+    out = out.withColumn("ratio", X.length_ratio(F.col("text"), F.col("rewritten")))
     out = out.withColumn("similarity", similarity("text", "rewritten")).withColumn("readability", X.readability(F.col("rewritten")))
     out = out.withColumn("issues", X.grammar_issues(F.col("rewritten")))
     c = F.col

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ids, labels, measures, urls
 from ..functions import text as X
-from ..operators import alerts, compare, extract, filters, images, reports, rewrite, trends, validate
+from ..operators import alerts, compare, extract, filters, images, pixels, reports, rewrite, trends, validate
 from .catalogue import COMPARE_SQL, HISTORY_SQL, IMAGES_SQL, TRENDS_SQL, image_rows, price_history, snapshot, snapshot_sql
 from .tables import read_table
 
@@ -161,6 +162,27 @@ def snapshot_full_outer(spark, sf_dir):
     return rounded(_compared(spark, sf_dir).drop("characteristic_changes"), 6, "change_amount", "change_percent")
 
 
+def _repeated(spark: SparkSession, sf_dir: str, which: str, every: int) -> DataFrame:
+    """A snapshot with some products once more, later and at another price."""
+    s = snapshot(spark, sf_dir, which).withColumn("seq", F.lit(1))
+    again = s.where(F.col("p_partkey") % every == 0)
+    return s.unionByName(again.withColumns({"price": F.col("price") + 100, "seq": F.lit(3)})).unionByName(again.withColumns({"price": F.col("price") - 50, "seq": F.lit(2)}))
+
+
+def repeated_sql(name: str, every: int) -> str:
+    return f"""{name}r AS (SELECT *, 1 AS seq FROM {name} UNION ALL SELECT * REPLACE (price + 100 AS price), 3 FROM {name} WHERE p_partkey % {every} = 0
+ UNION ALL SELECT * REPLACE (price - 50 AS price), 2 FROM {name} WHERE p_partkey % {every} = 0),
+ {name}1 AS (SELECT * FROM {name}r QUALIFY row_number() OVER (PARTITION BY name, sku, url ORDER BY seq DESC) = 1)"""
+
+
+@query(f"""WITH {snapshot_sql("current", "c")}, {snapshot_sql("previous", "p")}, {repeated_sql("c", 5)}, {repeated_sql("p", 7)}
+ SELECT coalesce(c1.sku, p1.sku) AS sku, p1.price AS old_price, c1.price AS new_price, coalesce(p1.status, 'unknown') AS old_status, coalesce(c1.status, 'unknown') AS new_status
+ FROM c1 FULL OUTER JOIN p1 ON c1.name = p1.name AND c1.sku = p1.sku AND c1.url = p1.url""")
+def snapshot_duplicates(spark, sf_dir):
+    out = compare.compare(_repeated(spark, sf_dir, "current", 5), _repeated(spark, sf_dir, "previous", 7), order=["seq"])
+    return out.select("sku", "old_price", "new_price", "old_status", "new_status")
+
+
 @query(f"WITH {COMPARE_SQL} SELECT name, sku, price, category FROM c WHERE sku NOT IN (SELECT sku FROM p)")
 def snapshot_new(spark, sf_dir):
     cur, prev = _pair(spark, sf_dir)
@@ -277,15 +299,17 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALERTS_SQL = f"""{COMPARE_SQL}, {TRENDS_SQL}, s AS (SELECT count(*) FILTER (volatility > 0.1) AS hv FROM t),
  {MESSY_SQL[MESSY_SQL.index("m AS (SELECT"):]}, q AS (SELECT count(*) AS total, count(*) FILTER (sku NOT IN (SELECT sku FROM e)) AS valid FROM m),
- a AS (SELECT 'price' AS alert_group, 'PRICE_CHANGE' AS type, 'CRITICAL' AS level, name AS product FROM k WHERE status = 'changed' AND significant
- UNION ALL SELECT 'availability', 'NEW_PRODUCT', 'WARNING', name FROM k WHERE status = 'new' UNION ALL SELECT 'availability', 'DISCONTINUED_PRODUCT', 'WARNING', name FROM k WHERE status = 'discontinued'
- UNION ALL SELECT 'trend', 'HIGH_VOLATILITY', 'WARNING', NULL FROM s WHERE hv > 5 UNION ALL SELECT 'quality', 'DATA_QUALITY', 'CRITICAL', NULL FROM q WHERE valid / total < 0.7
- UNION ALL SELECT 'quality', 'HIGH_INVALID_DATA', 'WARNING', NULL FROM q WHERE (total - valid) / total > 0.3)"""
+ a AS (SELECT 'price' AS alert_group, 'PRICE_CHANGE' AS type, 'CRITICAL' AS level, name AS product, printf('{alerts.PRICE}', change_percent) AS message FROM k WHERE status = 'changed' AND significant
+ UNION ALL SELECT 'availability', 'NEW_PRODUCT', 'WARNING', name, '{alerts.NEW}' FROM k WHERE status = 'new'
+ UNION ALL SELECT 'availability', 'DISCONTINUED_PRODUCT', 'WARNING', name, '{alerts.GONE}' FROM k WHERE status = 'discontinued'
+ UNION ALL SELECT 'trend', 'HIGH_VOLATILITY', 'WARNING', NULL, printf('{alerts.VOLATILE}', hv) FROM s WHERE hv > 5
+ UNION ALL SELECT 'quality', 'DATA_QUALITY', 'CRITICAL', NULL, printf('{alerts.QUALITY}', valid / total) FROM q WHERE valid / total < 0.7
+ UNION ALL SELECT 'quality', 'HIGH_INVALID_DATA', 'WARNING', NULL, printf('{alerts.INVALID}', total - valid, total) FROM q WHERE (total - valid) / total > 0.3)"""
 
 
 @query(f"WITH {ALERTS_SQL} SELECT * FROM a")
 def alerts_union(spark, sf_dir):
-    return _alerts(spark, sf_dir).select("alert_group", "type", "level", "product")
+    return _alerts(spark, sf_dir).select("alert_group", "type", "level", "product", "message")
 
 
 @query(f"WITH {ALERTS_SQL} SELECT count(*) AS total_alerts, count(*) FILTER (level = 'CRITICAL') AS critical_alerts, count(*) FILTER (level <> 'CRITICAL') AS warning_alerts FROM a")
@@ -308,9 +332,10 @@ def price_alert_messages(spark, sf_dir):
 # filters
 
 
-@query("SELECT p_partkey FROM part WHERE p_retailprice IS NULL OR p_retailprice BETWEEN 1000 AND 1500")
+@query("SELECT p_partkey FROM part WHERE p_partkey % 9 = 0 OR p_retailprice BETWEEN 920 AND 960.5")
 def filter_price_range(spark, sf_dir):
-    return read_table(spark, sf_dir, "part").where(filters.price_between(F.col("p_retailprice"), 1000, 1500)).select("p_partkey")
+    price = F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice"))  # some without a price, which pass
+    return read_table(spark, sf_dir, "part").where(filters.price_between(price, 920, 960.5)).select("p_partkey")
 
 
 @query("SELECT p_partkey, p_type FROM part WHERE lower(p_type) LIKE '%promo%' OR lower(p_type) LIKE '%eco%'")
@@ -532,8 +557,7 @@ def text_grammar_issues(spark, sf_dir):
  x AS (SELECT r.doc_id, CASE WHEN length(text) = 0 THEN 1.0 ELSE CAST(length({CLEAN_SQL}) AS DOUBLE) / length(text) END AS ratio, coalesce(m, 0) AS m, readability, {ISSUES_SQL} AS issues FROM r LEFT JOIN c ON c.doc_id = r.doc_id)
  SELECT doc_id, round(least(1.0, greatest(0.0, 0.2 * CASE WHEN ratio < 1 THEN ratio ELSE 1 / ratio END + 0.2 * greatest(0.0, 1 - (m - 1) / 5.0::DOUBLE) + 0.2 * readability + 0.1 * greatest(0.0, 1 - issues / 5.0::DOUBLE))), 6) + 0.0 AS score FROM x""")
 def overall_score_no_similarity(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    d = d.join(rewrite.repetition(d, "text", "doc_id"), "doc_id")
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", rewrite.repeats(F.col("text"))["most"].alias("max_repetition"))
     clean = F.trim(F.regexp_replace("text", "\\s+", " "))
     score = X.overall_score(X.length_ratio(F.col("text"), clean), None, F.col("max_repetition"), X.readability(F.col("text")), X.grammar_issues(F.col("text")))
     return rounded(d.select("doc_id", score.alias("score")), 6, "score")
@@ -588,12 +612,42 @@ def brands_and_models(spark, sf_dir):
 DICTIONARY_SQL = "(VALUES " + ", ".join(f"('{w}', {len(s)})" for w, s in rewrite.SYNONYMS.items()) + ") s(word, n)"
 
 
-@query(f"WITH w AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Новый' WHEN 1 THEN 'большой' ELSE 'стол' END AS word FROM part) SELECT p_partkey, coalesce(n, 0) > 0 AS has_synonym FROM w LEFT JOIN {DICTIONARY_SQL} ON lower(w.word) = s.word")
+#: A dictionary of one synonym a word, so that SQL can tell which it is.
+SINGLE = {"small": ["tiny"], "red": ["scarlet"], "blue": ["azure"], "ring": ["band"], "bolt": []}
+SINGLE_SQL = "(VALUES " + ", ".join(f"('{w}', {repr(s[0]) if s else 'NULL'})" for w, s in SINGLE.items()) + ") s(key, synonym)"
+WORDS_SQL = "w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, unnest(range(len(string_split(p_name, ' ')))) AS pos FROM part)"
+
+
+def _name_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.posexplode(F.split("p_name", " ")).alias("pos", "word"))
+
+
+@query(f"WITH {WORDS_SQL} SELECT p_partkey, pos, word, synonym FROM w LEFT JOIN {SINGLE_SQL} ON lower(word) = key")
 def synonym_lookup(spark, sf_dir):
-    k = F.col("p_partkey")
-    words = read_table(spark, sf_dir, "part").select(k.alias("id"), F.lit(0).alias("pos"), F.when(k % 3 == 0, "Новый").when(k % 3 == 1, "большой").otherwise("стол").alias("word"))
-    out = rewrite.lookup_synonyms(words, rewrite.synonym_table(spark))
-    return out.select(F.col("id").alias("p_partkey"), F.col("synonym").isNotNull().alias("has_synonym"))
+    words = _name_words(spark, sf_dir).withColumn("word", F.initcap("word"))  # case is ignored
+    out = rewrite.lookup_synonyms(words, rewrite.synonym_table(spark, SINGLE))
+    return longs(out.select(F.col("id").alias("p_partkey"), "pos", F.lower("word").alias("word"), "synonym"), "pos")
+
+
+@query(f"WITH {WORDS_SQL} SELECT p_partkey, pos, word, word IN ('ring', 'widget') AS technical FROM w")
+def technical_words(spark, sf_dir):
+    terms = spark.createDataFrame([("Ring",), ("widget",), ("RING",)], "term string")
+    return longs(rewrite.is_technical(_name_words(spark, sf_dir), terms).withColumnRenamed("id", "p_partkey"), "pos")
+
+
+@query(f"WITH {WORDS_SQL} SELECT p_partkey, pos, word FROM w WHERE word NOT IN ('ring', 'widget')")
+def words_without_terms(spark, sf_dir):
+    terms = spark.createDataFrame([("Ring",), ("widget",)], "term string")
+    return longs(rewrite.without_terms(_name_words(spark, sf_dir), terms).withColumnRenamed("id", "p_partkey"), "pos")
+
+
+@query("""WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS pos FROM benchmark)
+ SELECT item_id, pos, word, coalesce(lag(word, 2) OVER p || ' ', '') || coalesce(lag(word) OVER p, '') AS before, coalesce(lead(word) OVER p, '') || coalesce(' ' || lead(word, 2) OVER p, '') AS after
+ FROM w WINDOW p AS (PARTITION BY item_id ORDER BY pos)""")
+def words_in_context(spark, sf_dir):
+    words = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.posexplode(F.split("text", " ")).alias("pos", "word"))
+    out = rewrite.in_context(words)
+    return longs(out.select(F.col("id").alias("item_id"), "pos", "word", F.array_join("before", " ").alias("before"), F.array_join("after", " ").alias("after")), "pos")
 
 
 @query(f"SELECT count(*) AS entries, CAST(sum(n) AS BIGINT) AS total_synonyms, CAST(avg(n) AS DOUBLE) AS average_synonyms FROM {DICTIONARY_SQL}")
@@ -624,15 +678,23 @@ def page_number(spark, sf_dir):
     return read_table(spark, sf_dir, "pages").select("page_id", urls.page_number(F.col("url")).alias("page"))
 
 
-@query("SELECT p_partkey, 'Hand Tools ' || CAST(p_partkey AS VARCHAR) AS name, true AS is_category FROM part")
+@query("""WITH u AS (SELECT p_partkey, p_partkey % 2 = 0 AS listed, regexp_replace(p_name || '_' || CAST(p_partkey AS VARCHAR), '[-_ ]', ' ', 'g') AS name FROM part)
+ SELECT p_partkey, array_to_string(list_transform(string_split(name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name, listed AS is_category FROM u""")
 def category_from_url(spark, sf_dir):
-    u = F.concat(F.lit("https://shop.example/catalog/hand-tools_"), F.col("p_partkey").cast("string"), F.lit("//"))
+    k = F.col("p_partkey")
+    folder = F.when(k % 2 == 0, "https://shop.example/Catalog/").otherwise("https://shop.example/item/")
+    u = F.concat(folder, F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("_"), k.cast("string"), F.lit("//"))
     return read_table(spark, sf_dir, "part").select("p_partkey", urls.category_name(u).alias("name"), urls.is_category(u).alias("is_category"))
 
 
-@query("SELECT page_id, NULL::VARCHAR AS problem, regexp_matches(url, '^https?://[^\\s/$.?#].[^\\s]*$') AS valid FROM pages")
+@query("""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 1 THEN regexp_replace(url, '^[a-z]+', 'ftp') WHEN 2 THEN regexp_replace(url, '^[a-z]+://', '') WHEN 3 THEN url || ' x' ELSE url END AS url FROM pages)
+ SELECT page_id, CASE WHEN NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]') THEN 'no_host' WHEN NOT regexp_matches(url, '^https?://') THEN 'bad_scheme' END AS problem,
+ regexp_matches(url, '^https?://[^\\s/$.?#].[^\\s]*$') AS valid FROM u""")
 def url_validity(spark, sf_dir):
-    return read_table(spark, sf_dir, "pages").select("page_id", urls.problem(F.col("url")).alias("problem"), F.col("url").rlike(urls.VALID).alias("valid"))
+    k, u = F.col("page_id") % 4, F.col("url")
+    odd = F.when(k == 1, F.regexp_replace(u, "^[a-z]+", "ftp")).when(k == 2, F.regexp_replace(u, "^[a-z]+://", "")).when(k == 3, F.concat(u, F.lit(" x"))).otherwise(u)
+    pages = read_table(spark, sf_dir, "pages").select("page_id", odd.alias("url"))
+    return pages.select("page_id", urls.problem(F.col("url")).alias("problem"), F.col("url").rlike(urls.VALID).alias("valid"))
 
 
 @query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1 FROM pages")
@@ -670,16 +732,23 @@ def first_categories(spark, sf_dir):
     return extract.first_categories(extract.categories(read_table(spark, sf_dir, "pages"))).select("url")
 
 
-@query("""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)(<meta [^>]*>)', 1)) AS tag FROM pages), p AS (SELECT page_id, regexp_extract(tag, '(?i)(?:name|property)="([^"]*)"', 1) AS k, regexp_extract(tag, '(?i)content="([^"]*)"', 1) AS v FROM t)
- SELECT pages.page_id, CAST(count(DISTINCT k) FILTER (k <> '' AND v <> '') AS BIGINT) AS n_meta FROM pages LEFT JOIN p ON p.page_id = pages.page_id GROUP BY 1""")
+@query("""WITH m AS (SELECT page_id, unnest(['description', 'og:title', 'og:url']) AS key, unnest(['page ' || CAST(page_id AS VARCHAR), CASE WHEN page_id % 2 = 0 THEN 'second' ELSE 'first' END, url]) AS value FROM pages) SELECT * FROM m""")
 def meta_map(spark, sf_dir):
-    return longs(read_table(spark, sf_dir, "pages").select("page_id", F.size(extract.meta_map(F.col("html"))).alias("n_meta")), "n_meta")
+    k = F.col("page_id")
+    head = F.concat(
+        F.lit("<meta name=\"description\" content=\"page "), k.cast("string"), F.lit("\"><META content=\"first\" property=\"og:title\"><meta name=\"empty\" content=\"\"><meta charset=\"utf-8\">"),
+        F.when(k % 2 == 0, "<meta property=\"og:title\" content=\"second\">").otherwise(""), F.lit("<meta property=\"og:url\" content=\""), F.col("url"), F.lit("\">"), F.col("html"),
+    )
+    return read_table(spark, sf_dir, "pages").select("page_id", F.explode(extract.meta_map(head)).alias("key", "value"))
 
 
-@query("""WITH s AS (SELECT 1) SELECT 'https://shop.example/catalog/' || CAST(i AS VARCHAR) AS url, CAST(i AS VARCHAR) AS name, 'sitemap' AS type FROM s, range(0, 50) r(i) WHERE i % 2 = 0""")
+@query("""SELECT 'https://shop.example/catalog/' || regexp_replace(p_name, ' ', '-', 'g') || '_' || CAST(p_partkey AS VARCHAR) AS url, upper(p_name[1]) || regexp_replace(p_name[2:], ' .*$', '') || ' ' ||
+ upper(regexp_extract(p_name, ' (.)', 1)) || regexp_extract(p_name, ' .(.*)$', 1) || ' ' || CAST(p_partkey AS VARCHAR) AS name, 'sitemap' AS type FROM part WHERE p_partkey % 3 <> 0""")
 def sitemap_categories(spark, sf_dir):
-    locs = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.concat(F.lit("<loc>https://shop.example/"), F.when(i % 2 == 0, "catalog/").otherwise("news/"), i.cast("string"), F.lit("</loc>")))
-    return extract.sitemap_links(spark.range(1).select(F.concat(F.lit("<?xml?>"), F.array_join(locs, "")).alias("xml")))
+    k = F.col("p_partkey")
+    here = F.concat(F.lit("https://shop.example/catalog/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("_"), k.cast("string"))
+    xml = F.concat(F.when(k % 3 != 0, "<?xml version='1.0'?>").otherwise("<html>"), F.lit("<urlset><loc> "), here, F.lit(" </loc><loc>https://shop.example/news/1</loc></urlset>"))
+    return extract.sitemap_links(read_table(spark, sf_dir, "part").select(xml.alias("xml")))
 
 
 # images and reports
@@ -745,9 +814,9 @@ def validation_sheet(spark, sf_dir):
 
 
 @query(f"""WITH {ALERTS_SQL} SELECT CASE alert_group WHEN 'price' THEN '{reports.GROUPS["price"]}' WHEN 'availability' THEN '{reports.GROUPS["availability"]}' WHEN 'trend' THEN '{reports.GROUPS["trend"]}' ELSE '{reports.GROUPS["quality"]}' END AS kind,
- level, coalesce(product, 'Общий') AS product FROM a""")
+ level, coalesce(product, 'Общий') AS product, message FROM a""")
 def alert_sheet(spark, sf_dir):
-    return reports.alert_sheet(_alerts(spark, sf_dir)).select("kind", "level", "product")
+    return reports.alert_sheet(_alerts(spark, sf_dir)).select("kind", "level", "product", "message")
 
 
 @query(f"WITH {snapshot_sql('current', 'c')} SELECT count(*) AS n, round(avg(price), 4) AS average_price, min(price) AS min_price, max(price) AS max_price FROM c")
@@ -783,9 +852,10 @@ def ttl_filter(spark, sf_dir):
     return not_expired(cached, F.lit("2024-01-20").cast("timestamp")).select("key", "event_id")
 
 
-@query("SELECT p_partkey, 'a_b_c_' || CAST(p_partkey AS VARCHAR) AS name FROM part")
+@query("""SELECT p_partkey, substr(regexp_replace(regexp_replace(p_name || '<>:' || p_type || '/|?' || repeat(p_brand, p_size), '[<>:"/\\\\|?*]', '_', 'g'), '_+', '_', 'g'), 1, 100) AS name FROM part""")
 def safe_file_name(spark, sf_dir):
-    return read_table(spark, sf_dir, "part").select("p_partkey", labels.file_name(F.concat(F.lit('a<>b:/c|?'), F.col("p_partkey").cast("string"))).alias("name"))
+    long = F.concat("p_name", F.lit("<>:"), "p_type", F.lit("/|?"), F.repeat(F.col("p_brand"), F.col("p_size")))
+    return read_table(spark, sf_dir, "part").select("p_partkey", labels.file_name(long).alias("name"))
 
 
 @query("""SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
@@ -796,34 +866,130 @@ def event_windows(spark, sf_dir):
     return rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), 4, "total")
 
 
-# what SQL cannot express; tests hold these against plain models
+# product pages, made out of parts so that SQL knows what they say
 
 
-@query()
-def similarity_ratio(spark, sf_dir):
-    b = read_table(spark, sf_dir, "benchmark")
-    return b.select("item_id", rewrite.similarity("text", X.preprocess(F.col("text"))).alias("similarity"))
+def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each part, by three wrappers; the site is one host for each wrapper."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    price = F.concat(F.col("p_size").cast("string"), F.lit(","), F.lpad((k % 100).cast("string"), 2, "0"), F.lit(" ₽"))
+    stock = F.when(k % 4 == 0, "Нет в наличии").otherwise("В наличии")
+    crumbs = F.concat(F.lit("<div class='breadcrumb'><a>Home</a> / <a>"), F.col("p_type"), F.lit("</a></div>"))
+    table = F.concat(F.lit("<table class='specs'><tr><td>Бренд</td><td>"), F.col("p_brand"), F.lit("</td></tr><tr><th>Вес</th><td>"), F.col("p_size").cast("string"), F.lit(" кг</td></tr></table>"))
+    dl = F.concat(F.lit("<dl class='features'><dt>Бренд</dt><dd>"), F.col("p_brand"), F.lit("</dd><dt>Вес</dt><dd>"), F.col("p_size").cast("string"), F.lit(" кг</dd></dl>"))
+    first = F.concat(F.lit("<h1 class='product-title'> "), name, F.lit(" </h1><span class='price'>"), price, F.lit("</span><span class='stock'>"), stock, F.lit("</span><span class='sku'>P"), k.cast("string"), F.lit("</span>"), table)
+    second = F.concat(F.lit("<h1 itemprop='name'>"), name, F.lit("</h1><div class='price-box'>"), price, F.lit("</div><p class='stock-status'>"), stock, F.lit("</p><p class='product-sku'>P"), k.cast("string"), F.lit("</p>"), dl)
+    third = F.concat(F.lit("<div class='product-name'><h1>"), name, F.lit("</h1></div><b data-price='1'>"), price, F.lit("</b><i data-in-stock='1'>"), stock, F.lit("</i><u data-product-id='1'>P"), k.cast("string"), F.lit("</u>"), table)
+    body = F.when(k % 3 == 0, first).when(k % 3 == 1, second).otherwise(third)
+    url = F.concat(F.lit("https://site"), (k % 3).cast("string"), F.lit(".example/item/"), k.cast("string"))
+    return read_table(spark, sf_dir, "part").select(k.alias("page_id"), url.alias("url"), F.concat(F.lit("<html><body>"), crumbs, body, F.lit("</body></html>")).alias("html"))
 
 
-@query()
-def rewrite_description(spark, sf_dir):
-    return rewrite.rewrite(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+@query("""SELECT p_partkey AS page_id, p_name AS name, CAST(p_size || '.' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS DOUBLE) AS price, 'P' || CAST(p_partkey AS VARCHAR) AS sku,
+ CASE WHEN p_partkey % 4 = 0 THEN 'out_of_stock' ELSE 'in_stock' END AS status, 'Home > ' || p_type AS category, p_brand AS brand, CAST(round(p_size * 1000.0::DOUBLE, 2) AS VARCHAR) AS weight FROM part""")
+def html_extract_product(spark, sf_dir):
+    pages = _product_pages(spark, sf_dir)
+    out = extract.extract_products(pages, extract.site_selectors(pages))
+    traits = F.col("characteristics")
+    return out.select("page_id", "name", "price", "sku", F.col("availability.status").alias("status"), "category", traits["manufacturer"].alias("brand"), traits["weight"].alias("weight"))
 
 
-@query()
-def html_extract_product(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages")
-    return extract.extract_products(pages, extract.site_selectors(pages)).select("page_id", "url", "name", "price", F.col("availability.status").alias("status"))
+@query("""WITH s AS (SELECT 0 AS m, 'h1[class*=title]' AS n, 'span[class*=price]' AS p, 'span[class*=stock]' AS a, 'span[class*=sku]' AS u, 'table[class*=specs]' AS c
+ UNION ALL SELECT 1, 'h1[itemprop=name]', 'div[class*=price]', '.stock-status', '.product-sku', 'dl[class*=features]'
+ UNION ALL SELECT 2, 'div[class*=product-name] h1', '[data-price]', '[data-in-stock]', '[data-product-id]', 'table[class*=specs]')
+ SELECT p_partkey AS page_id, unnest(['product_name', 'price', 'availability', 'sku', 'characteristics']) AS field, unnest([n, p, a, u, c]) AS selector FROM part JOIN s ON m = p_partkey % 3""")
+def selector_detect(spark, sf_dir):
+    return extract.detect_selectors(_product_pages(spark, sf_dir)).select("page_id", F.explode("selectors").alias("field", "selector"))
+
+
+def _listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of six parts each, by brand: .../brand?page=n, from 1; some lack a link or a name."""
+    k = F.col("p_partkey")
+    item = F.concat(
+        F.lit("<div class='product'>"), F.when(k % 10 != 0, F.concat(F.lit("<h3>"), F.col("p_name"), F.lit("</h3>"))).otherwise("<p>none</p>"),
+        F.when(k % 7 != 0, F.concat(F.lit("<a href='/item/"), k.cast("string"), F.lit("'>x</a>"))).otherwise("<a>x</a>"),
+        F.lit("<span class='price'>"), F.col("p_size").cast("string"), F.lit(" $</span></div>"),
+    )
+    parts = read_table(spark, sf_dir, "part").withColumn("n", F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1)
+    page = F.floor(F.col("n") / 6)
+    per = parts.groupBy("p_brand", page.alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("item")))), lambda x: x["item"]), "").alias("items"), F.min("p_partkey").alias("page_id"))
+    url = F.concat(F.lit("https://shop.example/catalog/"), F.replace("p_brand", F.lit("#"), F.lit("-")), F.lit("?page="), (F.col("page") + 1).cast("string"))
+    return per.select("page_id", url.alias("url"), F.concat(F.lit("<html>"), "items", F.lit("</html>")).alias("html"))
+
+
+LISTING_SQL = """n AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS n FROM part),
+ g AS (SELECT *, n // 6 AS page, min(p_partkey) OVER (PARTITION BY p_brand, n // 6) AS page_id FROM n),
+ i AS (SELECT page_id, p_brand, page + 1 AS page_number, row_number() OVER (PARTITION BY page_id ORDER BY p_partkey) AS position, p_name AS name,
+ 'https://shop.example/item/' || CAST(p_partkey AS VARCHAR) AS url, CAST(p_size AS DOUBLE) AS price FROM g WHERE p_partkey % 10 <> 0 AND p_partkey % 7 <> 0)"""
+
+
+@query(f"WITH {LISTING_SQL} SELECT page_id, position, name, url, price, true AS category_page_data FROM i")
+def listing_products(spark, sf_dir):
+    return longs(extract.listing_products(_listing_pages(spark, sf_dir)).drop("image_url"), "position")
+
+
+@query(f"WITH {LISTING_SQL} SELECT 'https://shop.example/catalog/' || replace(p_brand, '#', '-') AS category_url, page_number, position, name, url FROM i WHERE page_number <= 10")
+def category_scan(spark, sf_dir):
+    return longs(extract.category_scan(_listing_pages(spark, sf_dir)).select("category_url", "page_number", "position", "name", "url"), "position", "page_number")
+
+
+@query(f"""WITH {snapshot_sql('current', 'c')} SELECT count(*) AS total, count(*) FILTER (p_partkey % 3 > 0) AS with_article, count(*) FILTER (p_partkey % 3 = 0) AS without_article,
+ count(*) FILTER (n_images > 0) AS with_images, CAST(sum(n_images) AS BIGINT) AS images FROM c""")
+def work_stats(spark, sf_dir):
+    k = F.col("p_partkey")
+    article = F.when(k % 3 == 1, "A1").when(k % 3 == 2, "B").otherwise(F.when(k % 2 == 0, ""))
+    return reports.work_stats(snapshot(spark, sf_dir, "current").withColumn("article", article))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(substr(p_type, 1, 3)) || '-UNK-' || upper(substr(md5(p_name || CAST(p_size AS VARCHAR)), 1, 4))
+ ELSE 'GEN-' || upper(substr(md5(p_name || p_type || 'size=' || CAST(p_size AS VARCHAR) || ';'), 1, 8)) END AS article FROM part""")
+def article_by_strategy(spark, sf_dir):
+    traits = F.create_map(F.lit("size"), F.col("p_size").cast("string"))
+    made = {s: ids.article(s, F.col("p_name"), F.col("p_type"), F.lit(""), traits, F.col("p_size").cast("string")) for s in ("composite", "hash")}
+    chosen = F.when(F.col("p_partkey") % 2 == 0, made["composite"]).otherwise(made["hash"])
+    return read_table(spark, sf_dir, "part").select("p_partkey", chosen.alias("article"))
+
+
+# pictures of two by two pixels, red by red number, so that SQL can tell each
+
+
+def _pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    bytes_ = [F.lpad(F.hex((k + 17 * i) % 256), 2, "0") for i in range(12)]
+    return read_table(spark, sf_dir, "part").select(k.alias("id"), F.lit(2).alias("width"), F.lit(2).alias("height"), F.unhex(F.concat(*bytes_)).alias("pixels"))
+
+
+def pixels_sql(positions: Sequence[int], value: str = "v") -> str:
+    return f"array_to_string(list_transform([{', '.join(map(str, positions))}], lambda i: lpad(upper(hex({value.replace('v', '((p_partkey + 17 * i) % 256)')})), 2, '0')), '')"
+
+
+@query(f"SELECT p_partkey AS id, CAST(1 AS BIGINT) AS width, CAST(2 AS BIGINT) AS height, {pixels_sql([3, 4, 5, 9, 10, 11])} AS pixels FROM part")
+def image_crop(spark, sf_dir):
+    return longs(pixels.crop(_pictures(spark, sf_dir), 1, 0, 1, 2).withColumn("pixels", F.hex("pixels")), "width", "height")
+
+
+@query(f"SELECT p_partkey AS id, CAST(4 AS BIGINT) AS width, CAST(2 AS BIGINT) AS height, {pixels_sql([0, 1, 2, 0, 1, 2, 3, 4, 5, 3, 4, 5, 6, 7, 8, 6, 7, 8, 9, 10, 11, 9, 10, 11])} AS pixels FROM part")
+def image_resize(spark, sf_dir):
+    return longs(pixels.resize(_pictures(spark, sf_dir), 4, 2, keep_shape=False).withColumn("pixels", F.hex("pixels")), "width", "height")
+
+
+@query(f"SELECT p_partkey AS id, {pixels_sql(range(12), 'least(255, v + 40)')} AS pixels FROM part")
+def image_brightness(spark, sf_dir):
+    return pixels.adjust(_pictures(spark, sf_dir), brightness=40).select("id", F.hex("pixels").alias("pixels"))
+
+
+# what SQL cannot express; tests/test_models.py holds these against plain models
 
 
 @query()
-def selector_detect(spark, sf_dir):
-    return extract.detect_selectors(read_table(spark, sf_dir, "pages")).select("page_id", F.to_json("selectors").alias("selectors"))
+def similarity_ratio(spark, sf_dir):
+    b = read_table(spark, sf_dir, "benchmark")
+    return b.select("item_id", rewrite.similarity("text", X.preprocess(F.col("text"))).alias("similarity"))
 
 
 @query()
-def listing_products(spark, sf_dir):
-    return extract.listing_products(read_table(spark, sf_dir, "pages"))
+def rewrite_description(spark, sf_dir):
+    return rewrite.rewrite(read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query()

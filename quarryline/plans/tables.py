@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables of this session that settle() has written, removed when the driver ends.
+#: Tables of this session that settle() has written, removed by release() or when the driver ends.
 _written: list[tuple[SparkSession, str]] = []
 #: The folder of a session that names none.
 _own: list[str] = []
@@ -24,13 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own:
         _own.append(f"file://{tempfile.mkdtemp(prefix='quarryline-')}")
     return _own[0]
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Remove the tables that settle() has written so far; results that still read them are lost."""
+    while _written:
+        spark, path = _written.pop()
         try:
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(target, True)
@@ -38,7 +42,7 @@ def _remove_written() -> None:
             return
 
 
-atexit.register(_remove_written)
+atexit.register(release)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -51,6 +51,7 @@ class Settings:
     image_min_side: int = 400
     image_large_side: int = 1200
     categories_per_site: int = 10
+    pages_per_category: int = 10
     products_per_category: int = 50
     sitemap_locations: int = 50
     images_kept: int = 5

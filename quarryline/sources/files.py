@@ -167,6 +167,47 @@ def template(name: str, custom: dict[str, dict] | None = None) -> dict:
     return (custom or {}).get(name) or TEMPLATES.get(name) or TEMPLATES["basic"]
 
 
+def save_template(name: str, t: dict, folder: str) -> str:
+    """A template as JSON under its name; one with errors is refused."""
+    if errors := template_errors(t):
+        raise ValueError("; ".join(errors))
+    out = Path(folder) / f"{name}.json"
+    out.parent.mkdir(parents=True, exist_ok=True)
+    out.write_text(json.dumps(t, ensure_ascii=False, indent=2), encoding="utf-8")
+    return str(out)
+
+
+def list_templates(folder: str | None = None) -> dict[str, dict]:
+    """The built-in templates and those saved in a folder, which come before built-in ones of the same name."""
+    saved = {p.stem: json.loads(p.read_text(encoding="utf-8")) for p in sorted(Path(folder).glob("*.json"))} if folder else {}
+    return TEMPLATES | saved
+
+
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """(path, size): each row of images (article, idx, extension, content) as folder/article/article_idx.extension.
+
+    Tasks write their own rows through the folder's file system as pyarrow opens it, so shared stores work; a file
+    that is there already is replaced, so a task that runs again makes the same files.
+    """
+
+    def run(batches):
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else Path(folder).absolute().as_uri())
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                fs.create_dir(f"{base}/{r.article}", recursive=True)
+                path = f"{base}/{r.article}/{r.article}_{r.idx:02d}.{r.extension}"
+                with fs.open_output_stream(path) as f:
+                    f.write(bytes(r.content or b""))
+                out.append((path, len(r.content or b"")))
+            yield pd.DataFrame(out, columns=["path", "size"])
+
+    return images.select("article", "idx", "extension", "content").mapInPandas(run, "path string, size long")
+
+
 def template_errors(t: dict) -> list[str]:
     out = [f"missing: {k}" for k in ("sheets", "columns") if k not in t]
     out += [f"no columns: {s}" for s in t.get("sheets", []) if not t.get("columns", {}).get(s)]
