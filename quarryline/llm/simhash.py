@@ -15,9 +15,11 @@ no task collects an unbounded group. Per anchor only a spanning forest of the li
 
 keep_one_of_each_group(), the stage of a corpus pipeline, is for near-copies: texts whose sets of NEAR_SHINGLE-word shingles
 have a Jaccard similarity of SIMILARITY or more. Few of these differ in 2 bits of a fingerprint of shingles, so it takes
-PRINTS fingerprints of each text, of its words by their number (an edit changes one word, but several shingles), each
-with another hash; the anchors find those within MAX_DISTANCE bits in any of them, and only pairs whose similarity holds
-on the whole texts are linked. Texts that are equal are one from the start.
+PRINTS fingerprints of each text, of its words, once or twice each (an edit changes one word, but several shingles),
+each with another hash; the anchors find those within MAX_DISTANCE bits in any of them, and only pairs whose similarity holds
+on the whole texts are linked. Texts that are equal are one from the start. A candidate pair is verified only while its
+ends are apart: first the one to its smallest neighbour of each text, then one between any two groups so found, at last
+all that are still between groups. So a large group of near-copies costs about a pair a text, and no candidate is left out.
 
 Nulls: a null text is an empty one; a row with a null doc_id gets the fingerprint and component of its text,
 but never names a component. Repeated rows all stay. Other columns of the input are ignored.
@@ -33,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +48,8 @@ MAX_DISTANCE = 2
 CODE_BITS = 63
 LOW = np.uint64((1 << CODE_BITS) - 1)
 NEAR_SHINGLE, SIMILARITY, PRINTS = 5, 0.8, 6
+#: A word counts so often at most in a print: else all long texts of a language would be alike.
+MOST_COUNTED = 2
 #: Bytes of a text whose words are held at once: bounds the memory that a very long text takes.
 SLICE = 1 << 19
 _SPACE = re.compile(rb"[\t-\r ]")
@@ -93,14 +98,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def word_prints(text: bytes) -> np.ndarray:
-    """PRINTS fingerprints of a text's words by their number, zero without words."""
+    """PRINTS fingerprints of a text's words, once or twice each; zero without words."""
     counts: Counter = Counter()
     for part in slices(text):
         counts.update(part.lower().split())
     if not counts:
         return np.zeros(PRINTS, np.uint64)
     hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in counts], np.uint64)
-    n, out = np.array(list(counts.values()), np.int64), np.zeros(PRINTS, np.uint64)
+    n, out = np.minimum(list(counts.values()), MOST_COUNTED).astype(np.int64), np.zeros(PRINTS, np.uint64)
     for k in range(PRINTS):  # another hash of each word out of the first one
         h = (hashes ^ np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
@@ -115,27 +120,29 @@ def _word_prints(text: pa.Array) -> pa.Array:
     return pa.array([word_prints(x.as_py() or b"").view(np.int64) for x in text.cast(pa.binary())], pa.list_(pa.int64()))
 
 
-def near_shingles(text: bytes) -> set[int]:
-    """The hashes of a text's NEAR_SHINGLE-word shingles; of fewer words, of the whole sequence."""
+def near_shingles(text: bytes) -> np.ndarray:
+    """The hashes of a text's NEAR_SHINGLE-word shingles in order, each once; of fewer words, of the whole sequence."""
     words = text.lower().split()
-    parts = [words[i : i + NEAR_SHINGLE] for i in range(max(1, len(words) - NEAR_SHINGLE + 1))] if words else []
-    return {xxhash.xxh64_intdigest(b" ".join(x)) for x in parts}
+    parts = (words[i : i + NEAR_SHINGLE] for i in range(max(1, len(words) - NEAR_SHINGLE + 1))) if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(x)) for x in parts), np.uint64))
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [near_shingles(x.as_py() or b"").tobytes() for x in batch.column("text").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) of the pairs whose texts are similar enough; a text that comes again and again is cut into shingles once."""
-    last, left = None, set()
+    """(a, b) of the pairs whose sets of shingles are similar enough."""
     for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        texts = (batch.column(c).cast(pa.binary()) for c in ("text_a", "text_b"))
         keep = []
-        for i, (node, x, y) in enumerate(zip(a, *texts, strict=True)):
-            if node != last:
-                last, left = node, near_shingles(x.as_py() or b"")
-            right = near_shingles(y.as_py() or b"")
-            if len(left & right) >= SIMILARITY * len(left | right):
+        for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"), strict=True)):
+            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
+            if both >= SIMILARITY * (len(x) + len(y) - both):
                 keep.append(i)
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in keep], pa.int64()) for x in (a, b)], ["a", "b"])
+        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
 def _flips() -> list[np.ndarray]:
@@ -243,40 +250,74 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_links(texts: DataFrame) -> DataFrame:
-    """(a, b): links between nodes of texts (node long, text, prints), found by anchors and verified on whole texts."""
-    prints = settle(texts.select("node", F.explode("prints").alias("fp")).distinct())
+def candidates(prints: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes of prints (node, fp) with fingerprints that the anchors find near, the same ones by a star."""
     firsts = settle(prints.groupBy("fp").agg(F.min("node").alias("first")))
     ends = [firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("a", "b")]
     between = links(firsts).join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     alike = prints.join(firsts, "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    found = between.unionByName(alike).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = settle(found)
-    text = F.col("text")
-    pairs = found.join(texts.select(F.col("node").alias("b"), text.alias("text_b")).hint("merge"), "b")
-    pairs = pairs.join(texts.select(F.col("node").alias("a"), text.alias("text_a")).hint("merge"), "a")
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long")
+    found = between.unionByName(alike).where("a <> b")
+    return settle(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (node, shingles) are similar enough."""
+    for c in ("b", "a"):
+        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}")).hint("merge"), c)
+    return settle(pairs.select("a", "b", "set_a", "set_b").mapInArrow(_similar, "a long, b long"))
+
+
+def near_groups(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that candidate pairs (a, b) join, where their sets are similar enough."""
+    least = F.min(F.struct("part_a", "a", "b")).alias("p")
+    linked, part = None, pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).limit(0)
+    for turn in range(3):
+        live = pairs
+        for c in ("a", "b"):
+            live = live.join(part.select(F.col("node").alias(c), F.col("component").alias(f"part_{c}")), c, "left")
+        live = live.select("a", "b", F.coalesce("part_a", "a").alias("part_a"), F.coalesce("part_b", "b").alias("part_b")).where("part_a <> part_b")
+        if turn < 2:
+            live = live.groupBy("part_b", *["part_a"] * turn).agg(least).select("p.a", "p.b")
+        live = settle(live.select("a", "b"))
+        if live.isEmpty():
+            break
+        more = verified(live, sets)
+        linked = more if linked is None else settle(linked.unionByName(more))
+        part = settle(connected_components(linked))
+    return part
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text and any others) that stay, one of each group of near-copies.
 
-    It is that of the smallest doc_id (null last); of rows that have it and are alike, one.
+    It is that of the smallest doc_id (null last, then by hash); of rows that have it and its text, one.
     """
     small_batches(docs.sparkSession)
-    rid, text, prints, one, two = (fresh(docs, x) for x in ("rid", "whole", "prints", "hash_a", "hash_b"))
-    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = row_ids(docs.withColumns({prints: _word_prints(whole), one: F.xxhash64(whole), two: F.xxhash64(F.lit(1), whole)}), rid)
-    light = rows.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("id"), F.col(one).alias("one"), F.col(two).alias("two"))
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "rid")
-    best = settle(light.groupBy("one", "two").agg(F.min(order).alias("best")).select("best.*"))  # a row for each text
-    texts = rows.withColumn(text, whole).select(F.col(rid).alias("node"), F.col(text).alias("text"), F.col(prints).alias("prints"))
-    texts = texts.join(best.select(F.col("rid").alias("node")).hint("merge"), "node", "left_semi")
-    parts = settle(connected_components(near_links(settle(texts))))
-    grouped = best.join(parts.select(F.col("node").alias("rid"), "component"), "rid", "left")
-    kept = grouped.groupBy(F.coalesce("component", "rid").alias("part")).agg(F.min(F.struct("last", "id", "rid")).alias("b"))
+    whole, keys = F.coalesce(F.col("text").cast("string"), F.lit("")), ["one", "two"]  # a text's hash of 128 bits
+    hashes = {"one": F.xxhash64(whole), "two": F.xxhash64(F.lit(1), whole)}
+    own = settle(docs.select(F.col("doc_id").cast("long").alias("id"), *[h.alias(k) for k, h in hashes.items()], _word_prints(whole).alias("prints")))
+    order = F.struct(F.col("id").isNull().alias("last"), "id")
+    texts = own.groupBy(*keys).agg(F.min(order).alias("best"), F.min("prints").alias("prints"))
+    texts = row_ids(texts.select(*keys, "best.*", "prints"), "node")
+    pairs = candidates(texts.select("node", F.explode("prints").alias("fp")).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = settle(texts.select("node", *keys).join(ends, "node", "left_semi"))
+    found = docs.select(whole.alias("text"), *[h.alias(k) for k, h in hashes.items()]).join(asked, keys)
+    sets = settle(found.dropDuplicates(keys).select("node", "text").mapInArrow(_shingled, "node long, shingles binary"))
+    groups = near_groups(pairs, sets)
+    named = texts.select("node", "last", "id", *keys).join(groups, "node", "left")
+    best = F.min_by(F.struct("id", *keys), F.struct("last", "id", *keys)).alias("b")
+    kept = settle(named.groupBy(F.coalesce("component", "node").alias("part")).agg(best).select("b.*"))
     # what is kept grows with the input, so it is never broadcast
-    return rows.join(kept.select(F.col("b.rid").alias(rid)).hint("merge"), rid, "left_semi").select(*map(col, docs.columns))
+    one, two, rank = (fresh(docs, x) for x in ("hash_a", "hash_b", "nth"))
+    keyed = docs.withColumns({one: hashes["one"], two: hashes["two"]})
+    same = [keyed["doc_id"].cast("long").eqNullSafe(kept["id"]), keyed[f"`{one}`"] == kept["one"], keyed[f"`{two}`"] == kept["two"]]
+    stays = keyed.join(kept.hint("merge"), same, "left_semi")
+    repeated = own.join(kept, [own[k].eqNullSafe(kept[k]) for k in ("id", *keys)], "left_semi").groupBy("id", *keys).count().where("count > 1")
+    if not settle(repeated).isEmpty():
+        nth = F.row_number().over(W.partitionBy("doc_id", one, two).orderBy(one))
+        stays = stays.withColumn(rank, nth).where(col(rank) == 1)  # pushed below its shuffle: a row a key and task
+    return stays.select(*map(col, docs.columns))
 
 
 QUERIES = {"op9_simhash": op9_simhash}
