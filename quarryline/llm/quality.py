@@ -8,7 +8,8 @@ of their weighted mean. All weights are learned together from document labels al
 
 Training takes the TRAIN_DOCS labelled documents that come first by a hash of doc_id among those whose
 crc32(doc_id as text) mod 5 is not 0, with all their passages; that bounds what reaches the driver. Scores use
-every passage. Labels, lang, source and doc_id are no inputs.
+every passage, summed up block by block, so a very long text needs the memory of one block of passages and of its
+bytes and word starts. Labels, lang, source and doc_id are no inputs.
 
 Labels other than 0 and 1 are left out; of a doc_id with several labels the mean decides, of one with several
 texts the largest is used. Without any label all scores are 0.5. A null or empty text is a bag of one empty
@@ -18,7 +19,7 @@ tables give no rows; other columns pass through, and score() takes the name of t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,19 +52,23 @@ _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(63, 0x100000001B3, np.uint64)])
 
 
-def passages(text: bytes) -> np.ndarray:
-    """One row of FEATURES for each passage of a text in UTF-8; one row of zeros if it has no words."""
+def blocks(text: bytes) -> Iterator[np.ndarray]:
+    """One row of FEATURES for each passage of a text in UTF-8, PASSAGES_AT_ONCE rows at a time; a row of zeros if it has no words."""
     raw = np.frombuffer(text, np.uint8)
     space = _IS_SPACE[raw]
     starts = np.flatnonzero(~space & np.r_[True, space[:-1]]) if len(raw) else np.zeros(0, np.int64)
     if not len(starts):
-        return np.zeros((1, FEATURES))
-    step, out = PASSAGE * PASSAGES_AT_ONCE, []
+        yield np.zeros((1, FEATURES))
+    step = PASSAGE * PASSAGES_AT_ONCE
     for at in range(0, len(starts), step):
         end = starts[at + step] if at + step < len(starts) else len(raw)
         own = starts[at : at + step]
-        out.append(_encode(raw[own[0] : end], space[own[0] : end], own - own[0]))
-    return np.concatenate(out)
+        yield _encode(raw[own[0] : end], space[own[0] : end], own - own[0])
+
+
+def passages(text: bytes) -> np.ndarray:
+    """The rows of all blocks."""
+    return np.concatenate(list(blocks(text)))
 
 
 def _encode(raw: np.ndarray, space: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -104,13 +109,18 @@ class Attention:
     scale: np.ndarray
     p: dict[str, np.ndarray]
 
+    def hidden(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of standardised passages: hidden vectors, the two gates, and the exponents of the attention."""
+        p = self.p
+        h = np.tanh(x @ p["W"] + p["b"])
+        t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
+        return h, t, s, (t * s) @ p["w"]
+
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
         """x: standardised passages, bag after bag; first: where each bag starts."""
         p, sizes = self.p, np.diff(np.r_[first, len(x)])
         bag = np.repeat(np.arange(len(first)), sizes)
-        h = np.tanh(x @ p["W"] + p["b"])
-        t, s = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        e = (t * s) @ p["w"]
+        h, t, s, e = self.hidden(x)
         e = np.exp(e - np.maximum.reduceat(e, first)[bag])
         a = e / np.add.reduceat(e, first)[bag]
         z = np.add.reduceat(a[:, None] * h, first)
@@ -131,8 +141,17 @@ class Attention:
 
     def score(self, features: np.ndarray) -> float:
         """A document's score from the features of all its passages."""
-        x = (features - self.mean) / self.scale
-        return float(self.forward(x, np.zeros(1, np.int64))["y"][0])
+        return self.score_blocks([features])
+
+    def score_blocks(self, some: Iterable[np.ndarray]) -> float:
+        """The same from blocks of passages, one held at a time: the sums are kept relative to the greatest exponent so far."""
+        top, total, z = -np.inf, 0.0, np.zeros(HIDDEN)
+        for features in some:
+            h, _, _, e = self.hidden((features - self.mean) / self.scale)
+            now = max(top, e.max())
+            a, old = np.exp(e - now), np.exp(top - now)
+            top, total, z = now, total * old + a.sum(), z * old + a @ h
+        return float(_sigmoid(z / total @ self.p["c"] + self.p["d"][0]))
 
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Attention | None:
@@ -201,7 +220,7 @@ def score(docs: DataFrame, model: Attention | None, name: str = "score") -> Data
         return docs.withColumn(name, F.lit(0.5))
 
     def scores(text: pa.Array) -> pa.Array:
-        return pa.array([model.score(passages(x.as_py() or b"")) for x in text.cast(pa.binary())], pa.float64())
+        return pa.array([model.score_blocks(blocks(x.as_py() or b"")) for x in text.cast(pa.binary())], pa.float64())
 
     small_batches(docs.sparkSession)
     return docs.withColumn(name, F.arrow_udf(scores, T.DoubleType())(F.col("text").cast("string")))

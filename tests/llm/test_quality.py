@@ -94,6 +94,15 @@ def test_passages_cover_whole_texts(monkeypatch):
     assert Q.passages(b"a a a b").tolist()[0][-4] == 0.5
 
 
+def test_blocks_score_like_the_whole():
+    rng = np.random.default_rng(4)
+    model = Q.fit([np.abs(rng.normal(size=(3, Q.FEATURES))) for _ in range(8)], np.array([0.0, 1.0] * 4))
+    x = rng.normal(size=(50, Q.FEATURES)) * np.linspace(0, 9, 50)[:, None]
+    want = model.forward((x - model.mean) / model.scale, np.zeros(1, np.int64))["y"][0]
+    for cuts in ([], [1, 2, 30], [49]):
+        assert abs(model.score_blocks(np.split(x, cuts)) - want) < 1e-12
+
+
 def test_attention_weighs_passages_of_a_bag():
     rng = np.random.default_rng(3)
     bags, labels = [], []
