@@ -11,7 +11,8 @@ one bit from either, and m lies within R of some codeword, so both lie within R
 Copying a fingerprint to every anchor within 2 (32 of them, or 1 for a codeword) therefore loses no pair; the
 plain bound R + t = 3 would find the same pairs from 652 copies. Equal fingerprints are merged first, so the
 number of fingerprints near an anchor is at most 2 * (1 + 63 + 1953) however many documents are alike, and
-no task collects an unbounded group. Per anchor only a spanning forest of the links leaves the task.
+no task collects an unbounded group. A copy holds its anchor and which bits it has flipped, not the fingerprint, as that is
+shorter to shuffle. Per anchor only a spanning forest of the links leaves the task.
 
 keep_one_of_each_group(), the stage of a corpus pipeline, is for near-copies: texts whose sets of NEAR_SHINGLE-word shingles
 have a Jaccard similarity of SIMILARITY or more. Few of these differ in 2 bits of a fingerprint of shingles, so it takes
@@ -145,36 +146,46 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _flips() -> list[np.ndarray]:
-    """For each syndrome the bit flips of weight at most 2 that lead to a codeword; bit i - 1 stands for position i."""
-    out = [np.zeros(1, np.uint64)]
-    for s in range(1, 64):
-        pairs = [(1 << (i - 1)) | (1 << ((i ^ s) - 1)) for i in range(1, 64) if i < (i ^ s)]
-        out.append(np.array([1 << (s - 1), *pairs], np.uint64))
-    return out
+#: The bit of each position from 1; position 0 is none.
+BITS = np.array([0, *(1 << i for i in range(CODE_BITS))], np.uint64)
+#: The bit flips of weight at most 2 that lead from each syndrome to a codeword, as 64 times one position and the other.
+FLIPS = [np.array([s, *((i << 6) + (i ^ s) for i in range(1, 64) if i < (i ^ s))], np.int32) if s else np.zeros(1, np.int32) for s in range(64)]
+#: Stands in a flip for the bit that the code leaves out.
+TOP = 1 << 12
 
 
 #: Bit k of a word's syndrome is the parity of its bits at positions that have bit k.
 CHECKS = [np.uint64(sum(1 << (i - 1) for i in range(1, 64) if i >> k & 1)) for k in range(6)]
 
 
-def anchors_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All anchors within 2 of each fingerprint, with the fingerprint's index."""
+def flips_to_anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All anchors within 2 of each fingerprint, with the fingerprint's index and the flip from the anchor back to it."""
     low = fps & LOW
     syndrome = sum((np.bitwise_count(low & c) & 1).astype(np.int64) << k for k, c in enumerate(CHECKS))
-    anchors, index = [], []
-    for s, flips in enumerate(_flips()):
+    anchors, index, flips = [], [], []
+    for s, own in enumerate(FLIPS):
         at = np.flatnonzero(syndrome == s)
-        anchors.append((low[at, None] ^ flips[None, :]).ravel())
-        index.append(np.repeat(at, len(flips)))
-    return np.concatenate(anchors), np.concatenate(index)
+        anchors.append((low[at, None] ^ (BITS[own >> 6] ^ BITS[own & 63])[None, :]).ravel())
+        index.append(np.repeat(at, len(own)))
+        flips.append(np.tile(own, len(at)))
+    index, flips = np.concatenate(index), np.concatenate(flips)
+    return np.concatenate(anchors), index, flips + np.where(fps[index] > LOW, TOP, 0).astype(np.int32)
+
+
+def anchors_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All anchors within 2 of each fingerprint, with the fingerprint's index."""
+    return flips_to_anchors(fps)[:2]
+
+
+def unflipped(anchors: np.ndarray, flips: np.ndarray) -> np.ndarray:
+    """The fingerprints that lie so from their anchors."""
+    return anchors ^ BITS[flips >> 6 & 63] ^ BITS[flips & 63] ^ np.where(flips & TOP, ~LOW, np.uint64(0))
 
 
 def _to_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        anchors, index = anchors_of(fps)
-        yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(fps[index].view(np.int64))], ["anchor", "fp"])
+        anchors, _, flips = flips_to_anchors(batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(anchors.view(np.int64)), pa.array(flips)], ["anchor", "flip"])
 
 
 def _forest(fps: np.ndarray) -> tuple[list[int], list[int]]:
@@ -212,7 +223,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     wait_a, wait_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     for batch in batches:
         anchors = np.r_[wait_a, batch.column("anchor").to_numpy(zero_copy_only=False)]
-        fps = np.r_[wait_f, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)]
+        flips = batch.column("flip").to_numpy(zero_copy_only=False)
+        fps = np.r_[wait_f, unflipped(anchors[len(wait_a) :].view(np.uint64), flips)]
         if not len(anchors):
             continue
         cut = int(np.searchsorted(anchors, anchors[-1]))
@@ -223,7 +235,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links that connect what fingerprints (fp long, distinct) at most MAX_DISTANCE bits apart connect."""
-    near = fps.select("fp").mapInArrow(_to_anchors, "anchor long, fp long")
+    near = fps.select("fp").mapInArrow(_to_anchors, "anchor long, flip int")
     return near.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_links, "a long, b long")
 
 
