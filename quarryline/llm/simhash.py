@@ -20,7 +20,8 @@ PRINTS fingerprints of each text, of its words, once or twice each (an edit chan
 each with another hash; the anchors find those within MAX_DISTANCE bits in any of them, and only pairs whose similarity holds
 on the whole texts are linked. Texts that are equal are one from the start. A candidate pair is verified only while its
 ends are apart: first the one to its smallest neighbour of each text, then one between any two groups so found, at last
-all that are still between groups. So a large group of near-copies costs about a pair a text, and no candidate is left out.
+all that are still between groups. So a large group of near-copies costs about a pair a text. Near an anchor the candidates are a
+forest and for equal prints a star, so a pair can stay apart if the pairs that join it there are not similar in any print.
 
 Nulls: a null text is an empty one; a row with a null doc_id gets the fingerprint and component of its text,
 but never names a component. Repeated rows all stay. Other columns of the input are ignored.
@@ -48,7 +49,7 @@ SHINGLE = 3
 MAX_DISTANCE = 2
 CODE_BITS = 63
 LOW = np.uint64((1 << CODE_BITS) - 1)
-NEAR_SHINGLE, SIMILARITY, PRINTS = 5, 0.8, 6
+NEAR_SHINGLE, SIMILARITY, PRINTS = 5, 0.8, 10
 #: A word counts so often at most in a print: else all long texts of a language would be alike.
 MOST_COUNTED = 2
 #: Bytes of a text whose words are held at once: bounds the memory that a very long text takes.
