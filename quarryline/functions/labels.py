@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .measures import lookup
-from .text import truncate
+from .text import printf, truncate
 
 #: Texts of the reports (fixed values).
 AVAILABILITY = {"in_stock": "В наличии", "out_of_stock": "Нет в наличии", "preorder": "Предзаказ", "available": "В наличии", "unavailable": "Нет в наличии"}
@@ -49,7 +49,7 @@ def direction(change: Column) -> Column:
 
 
 def percent(change: Column) -> Column:
-    return F.format_string("%.2f%%", change)
+    return printf("%.2f%%", change)
 
 
 def file_name(text: Column) -> Column:

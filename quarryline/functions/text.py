@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,22 @@ def truncate(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit - 3), F.lit("..."))).otherwise(text)
 
 
+def printf(template: str, number: Column) -> Column:
+    """A template with one `%.nf` printed as C and SQL do: the double's exact value, halves to even; null for null.
+
+    format_string rounds the shortest decimal half up instead (0.125 to 0.13, 15.45 to 15.5). From 2^63 on the digits
+    are those of the shortest decimal and zeros.
+    """
+    before, digits, after = re.fullmatch(r"(.*?)%\.([1-9])f(.*)", template).groups()
+    plain = lambda t: F.lit(t.replace("%%", "%"))
+    shown = lambda x: F.call_function("format_number", x, F.lit("0." + "0" * int(digits)))
+    size = F.abs(number)
+    part = shown(size - F.floor(size))  # of a long number apart, as its shortest decimal lacks these digits; it may carry
+    whole = F.floor(size) + F.substring(part, 1, 1).cast("bigint")
+    long = F.concat(F.when(number < 0, "-").otherwise(""), whole.cast("string"), F.substring(part, 2, int(digits) + 1))
+    return F.concat(plain(before), F.when((size >= 2.0**40) & (size < 2.0**63), long).otherwise(shown(number)), plain(after))
+
+
 def title_if_shouting(text: Column) -> Column:
     """Capitals only for first letters where a text has letters and all of them are capitals."""
     shouting = (text == F.upper(text)) & (text != F.lower(text))

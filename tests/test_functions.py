@@ -98,6 +98,13 @@ def spark_once(spark):
     return spark
 
 
+def test_numbers_are_printed_by_their_exact_value(spark):
+    xs = [0.125, 0.375, -33.125, 15.45, 23.25, 1.005, 2.675, 99.995, -0.001, -0.0, 0.0, 1e-300, 2.0**45 + 0.375, -(2.0**52) - 0.5, 2.0**53 + 2, 9.1e18]
+    for digits in (1, 2):
+        assert apply(spark, lambda c, t=f"a %.{digits}f%%": X.printf(t, c), [*xs, None], "double") == [*(f"a {x:.{digits}f}%" for x in xs), None]
+    assert apply(spark, labels.percent, [0.125, 15.625, -33.125], "double") == ["0.12%", "15.62%", "-33.12%"]
+
+
 def test_analysis_and_lemmas(spark):
     got = apply(spark, X.analyze, ["Вес 5 кг, да. Ok?! end", "", None])
     assert [(s.text, s.tokens, s.n_words, s.n_numbers) for s in got[0]] == [
