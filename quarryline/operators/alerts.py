@@ -7,6 +7,7 @@ import logging
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import printf
 from ..schema import DEFAULTS, Settings
 
 #: Messages and advice (fixed values).
@@ -33,7 +34,7 @@ def product_alerts(compared: DataFrame) -> DataFrame:
 
     price = {c: text(c) for c in ("old_price", "new_price", "change_percent", "direction")}
     found = (
-        F.when((s == "changed") & F.col("significant"), one("price", "PRICE_CHANGE", "CRITICAL", F.format_string(PRICE, "change_percent"), price))
+        F.when((s == "changed") & F.col("significant"), one("price", "PRICE_CHANGE", "CRITICAL", printf(PRICE, F.col("change_percent")), price))
         .when(s == "new", one("availability", "NEW_PRODUCT", "WARNING", F.lit(NEW), {"price": text("new_price")}))
         .when(s == "discontinued", one("availability", "DISCONTINUED_PRODUCT", "WARNING", F.lit(GONE), {"last_price": text("old_price")}))
     )

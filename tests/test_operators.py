@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.functions import dom
-from quarryline.operators import compare, extract, filters, images, pixels, reports, rewrite, trends, validate
+from quarryline.operators import alerts, compare, extract, filters, images, pixels, reports, rewrite, trends, validate
 
 PAGE = """<html><head><meta name="description" content="Good lamp"><meta property="og:title" content="Lamp"></head><body>
 <div class="breadcrumb"><a>Home</a> <a>Lamps</a></div><h1 class="product-title">  Desk
@@ -73,6 +73,14 @@ def test_comparison_of_nulls_zeros_and_maps(spark):
     assert compare.compare(cur.limit(0), prev.limit(0)).count() == 0
 
 
+def test_price_alerts_print_halves_as_sql(spark):
+    kind = "name string, sku string, url string, price double, status string, images array<string>, characteristics map<string,string>"
+    row = lambda name, price: (name, "s", "u", price, "in_stock", [], {})
+    compared = compare.compare(spark.createDataFrame([row("a", 493.0), row("b", 215.0)], kind), spark.createDataFrame([row("a", 400.0), row("b", 400.0)], kind))
+    assert {r.product: r.message for r in alerts.price_alerts(compared).collect()} == {"a": alerts.PRICE % 23.25, "b": alerts.PRICE % -46.25}
+    assert alerts.PRICE % 23.25 == "Значительное изменение цены: 23.2%"
+
+
 def test_validation_of_missing_columns_and_long_values(spark):
     kind = "name string, price double, url string, images array<string>, characteristics map<string,string>"
     rows = [("Good", 1.0, "https://a.b/c", ["https://a.b/c.jpg"], {"k": "v"}), (None, None, None, None, None), ("x" * 501, 2e7, "https://a.b/" + "c" * 2000, ["bad", "https://a.b/c.tif"] * 11, {"k" * 101: "v" * 501})]
