@@ -59,7 +59,7 @@ def quality_alerts(metrics: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     low = metrics.where((F.col("quality_score") < settings.low_quality) & (F.col("total_products") > 0))
     share = F.try_divide(F.col("invalid_products").cast("double"), F.col("total_products").cast("double"))
     many = metrics.where(share > settings.high_invalid)
-    a = _alert(low, "quality", "DATA_QUALITY", "CRITICAL", F.format_string(QUALITY, "quality_score"), {"quality_score": F.col("quality_score")}, "")
+    a = _alert(low, "quality", "DATA_QUALITY", "CRITICAL", printf(QUALITY, F.col("quality_score")), {"quality_score": F.col("quality_score")}, "")
     b = _alert(many, "quality", "HIGH_INVALID_DATA", "WARNING", F.format_string(INVALID, "invalid_products", "total_products"), {"invalid_count": F.col("invalid_products")}, "")
     return a.unionByName(b)
 

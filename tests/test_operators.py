@@ -81,6 +81,12 @@ def test_price_alerts_print_halves_as_sql(spark):
     assert alerts.PRICE % 23.25 == "Значительное изменение цены: 23.2%"
 
 
+def test_quality_alerts_print_halves_as_sql(spark):
+    metrics = spark.createDataFrame([(0.625, 3, 8)], "quality_score double, invalid_products long, total_products long")
+    found = alerts.quality_alerts(metrics)
+    assert [r.message for r in found.where("type = 'DATA_QUALITY'").collect()] == [alerts.QUALITY % 0.625] == ["Низкое качество данных: 0.62"]
+
+
 def test_validation_of_missing_columns_and_long_values(spark):
     kind = "name string, price double, url string, images array<string>, characteristics map<string,string>"
     rows = [("Good", 1.0, "https://a.b/c", ["https://a.b/c.jpg"], {"k": "v"}), (None, None, None, None, None), ("x" * 501, 2e7, "https://a.b/" + "c" * 2000, ["bad", "https://a.b/c.tif"] * 11, {"k" * 101: "v" * 501})]
