@@ -81,10 +81,12 @@ def test_price_alerts_print_halves_as_sql(spark):
     assert alerts.PRICE % 23.25 == "Значительное изменение цены: 23.2%"
 
 
-def test_quality_alerts_print_halves_as_sql(spark):
+def test_quality_alerts_and_the_sheet_print_halves_as_sql(spark):
     metrics = spark.createDataFrame([(0.625, 3, 8)], "quality_score double, invalid_products long, total_products long")
     found = alerts.quality_alerts(metrics)
     assert [r.message for r in found.where("type = 'DATA_QUALITY'").collect()] == [alerts.QUALITY % 0.625] == ["Низкое качество данных: 0.62"]
+    assert {(r.kind, r.product, r.message) for r in reports.alert_sheet(found).collect()} == {
+        (reports.GROUPS["quality"], "Общий", m) for m in (alerts.QUALITY % 0.625, alerts.INVALID % (3, 8))}
 
 
 def test_validation_of_missing_columns_and_long_values(spark):
